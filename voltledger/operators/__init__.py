@@ -1,4 +1,11 @@
-from voltledger.operators.bands import band_label, bands, below_above, exceed_counts, pivot_mean
+from voltledger.operators.bands import (
+    band_label,
+    band_number,
+    bands,
+    below_above,
+    exceed_counts,
+    pivot_mean,
+)
 from voltledger.operators.cleanse import (
     clamp_negative,
     clean_bills,
@@ -25,6 +32,7 @@ __all__ = [
     "accepted",
     "attach_area",
     "band_label",
+    "band_number",
     "bands",
     "below_above",
     "by_membership",

@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def band_number(column: str, width: int) -> Column:
+    """Number of the band of ``width`` a whole number falls in, from 0."""
+    return F.call_function("div", F.col(column), F.lit(width))
+
+
 def bands(column: str, width: int, labels: Sequence[str]) -> Column:
-    """Label of the band ``column div width``; NULL beyond the last label."""
-    return band_label(F.call_function("div", F.col(column), F.lit(width)), labels)
+    """Label of the band a value falls in; NULL beyond the last label."""
+    return band_label(band_number(column, width), labels)
 
 
 def band_label(number: Column, labels: Sequence[str]) -> Column:
-    out = F.lit(None).cast("string")
+    out = F
     for i, label in enumerate(labels):
-        out = F.when(number == i, F.lit(label)).otherwise(out)
+        out = out.when(number == i, F.lit(label))
     return out
 
 

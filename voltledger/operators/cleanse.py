@@ -32,10 +32,10 @@ def drop_where(df: DataFrame, *predicates: Column) -> DataFrame:
 def normalise(df: DataFrame, column: str, mapping: Mapping[str, Iterable[str]]) -> DataFrame:
     """Replace listed spellings by their canonical value; others stay."""
     value = F.col(column)
-    out = value
+    out = F
     for canonical, spellings in mapping.items():
-        out = F.when(value.isin(*spellings), F.lit(canonical)).otherwise(out)
-    return df.withColumn(column, out)
+        out = out.when(value.isin(*spellings), F.lit(canonical))
+    return df.withColumn(column, out.otherwise(value))
 
 
 def correct(

@@ -22,7 +22,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voltledger import schemas
 from voltledger.functions import excel_date, int_or_null, month_number, zip_text
@@ -120,34 +119,32 @@ def _per_extract(specs: Sequence, rule: Callable, build: Callable[[object], Colu
         groups.setdefault(rule(spec), []).append(spec.name)
     ordered = sorted(groups.items(), key=lambda kv: -len(kv[1]))
     common, rest = ordered[0], ordered[1:]
-    out = build(common[0])
+    if not rest:
+        return build(common[0])
+    out = F
     for key, names in rest:
-        out = F.when(F.col("extract").isin(*names), build(key)).otherwise(out)
-    return out
+        out = out.when(F.col("extract").isin(*names), build(key))
+    return out.otherwise(build(common[0]))
 
 
-def _blank_to_null(c: Column) -> Column:
-    text = F.trim(c)
-    return F.when(~text.isin(*BLANKS), text)
-
-
-def _year_month(style: str, c: Column) -> tuple[Column, Column]:
-    """(year text, month text) of a date text in one of the styles."""
+def _month_of(style: str, c: Column) -> Column:
+    """struct(year text, month text) of a date text in one of the styles."""
     if style == "none":
-        return F.lit(None).cast("string"), F.lit(None).cast("string")
-    if style == "ym":
-        return F.substring(c, 1, 4), F.substring(c, 6, 2)
-    if style == "serial":
+        year = month = F.lit(None).cast("string")
+    elif style == "ym":
+        year, month = F.substring(c, 1, 4), F.substring(c, 6, 2)
+    elif style == "serial":
         day = excel_date(c)
-        return F.date_format(day, "yyyy"), F.date_format(day, "MM")
-    if style == "m_yy":
-        month, year = F.substring_index(c, "/", 1), F.substring_index(c, "/", -1)
-        return F.concat(F.lit("20"), year), F.lpad(month, 2, "0")
-    name = F.regexp_extract(c, r"^([A-Za-z]+)", 1)
-    year = F.regexp_extract(c, r"(\d+)$", 1)
-    if style == "name_yy":
-        year = F.concat(F.lit("20"), year)
-    return year, month_number(name)
+        year, month = F.date_format(day, "yyyy"), F.date_format(day, "MM")
+    elif style == "m_yy":
+        year = F.concat(F.lit("20"), F.substring_index(c, "/", -1))
+        month = F.lpad(F.substring_index(c, "/", 1), 2, "0")
+    else:
+        year = F.regexp_extract(c, r"(\d+)$", 1)
+        if style == "name_yy":
+            year = F.concat(F.lit("20"), year)
+        month = month_number(F.regexp_extract(c, r"^([A-Za-z]+)", 1))
+    return F.struct(year.alias("year"), month.alias("month"))
 
 
 def _integral(text: Column) -> Column:
@@ -164,98 +161,106 @@ def _errors(raw: Mapping[str, Column], typed: Mapping[str, Column], widths: Mapp
 
 
 def conform_bills(landed: DataFrame, specs: Sequence[BillSpec]) -> DataFrame:
-    """Landed bill extracts -> bill schema plus ``load_errors``."""
-    raw = {n: F.col(n) for n in BILL_RAW}
+    """Landed bill extracts -> bill schema plus ``load_errors``.
+
+    Three projections, each reading finished columns of the one before, so that
+    no rule is evaluated, or compiled, more than once.
+    """
 
-    def fixed(name: str) -> Column:
-        def build(value):
-            return F.lit(value) if value is not None else raw[name]
+    def text(name: str) -> Column:
+        """The cell, or the constant the spec puts in its place."""
+        return _per_extract(
+            specs,
+            lambda s: s.constants.get(name),
+            lambda value: F.trim(name) if value is None else F.lit(value),
+        )
 
-        return _per_extract(specs, lambda s: s.constants.get(name), build)
+    def unmarked(name: str) -> Column:
+        """The cell with blank marks replaced by what they stand for."""
 
-    def blank(name: str, value: Column) -> Column:
         def build(default):
-            cleared = _blank_to_null(value)
-            if default is None:
-                return cleared
-            return F.when(value.isNotNull(), F.coalesce(cleared, F.lit(str(default))))
+            stands_for = F.lit(None if default is None else str(default)).cast("string")
+            return F.when(F.col(name).isin(*BLANKS), stands_for).otherwise(F.col(name))
 
         return _per_extract(specs, lambda s: s.blanks.get(name), build)
 
-    def number(name: str, text: Column) -> Column:
+    def number(name: str) -> Column:
         def build(loose):
             if not loose:
-                return _integral(text)
-            return int_or_null(F.regexp_replace(text, r"(?i)\s*months?$", ""))
+                return _integral(F.col(name))
+            return int_or_null(F.regexp_replace(name, r"(?i)\s*months?$", ""))
 
         return _per_extract(specs, lambda s: name in s.loose, build)
 
-    def must_fit(name: str, text: Column) -> Column:
+    def must_fit(name: str) -> Column:
         return _per_extract(
             specs,
             lambda s: name in s.loose,
-            lambda loose: F.lit(None).cast("string") if loose else text,
+            lambda loose: F.lit(None).cast("string") if loose else F.col(name),
         )
 
-    def dates(column: str, rule: Callable, part: int) -> Column:
-        return _per_extract(specs, rule, lambda style: _year_month(style, F.trim(raw[column]))[part])
-
-    charge_year = dates("charge", lambda s: s.charge, 0)
-    charge_month = dates("charge", lambda s: s.charge, 1)
-
-    def commencement(part: int, charge: Column) -> Column:
-        cleared = _blank_to_null(raw["commencement"])
-
-        def build(key):
-            style, from_charge = key
-            value = _year_month(style, cleared)[part]
-            if not from_charge:
-                return value
-            mark = raw["commencement"].isNotNull() & cleared.isNull()
-            return F.when(mark, charge).otherwise(value)
-
-        return _per_extract(specs, lambda s: (s.commencement, s.blank_commencement_is_charge), build)
-
-    term_text = blank("term", fixed("term"))
-    fee_text = blank("term_fee", fixed("term_fee"))
-    end_text = blank("terminations", fixed("terminations"))
-
+    numbers = ("rate", "customers", "kwh", "term", "service_fee", "term_fee", "terminations")
+    trimmed = landed.select("extract", *[text(n).alias(n) for n in BILL_RAW])
+    started = F.col("commencement").isin(*BLANKS)
+    cells = trimmed.select(
+        "extract",
+        "supplier",
+        "edc",
+        _per_extract(specs, lambda s: s.zip_prefix, lambda p: zip_text("zip", p)).alias("zip"),
+        *[unmarked(n).alias(n) for n in numbers],
+        _per_extract(
+            specs, lambda s: s.charge, lambda style: _month_of(style, F.col("charge"))
+        ).alias("charge"),
+        _per_extract(
+            specs,
+            lambda s: s.commencement,
+            lambda style: F.when(~started, _month_of(style, F.col("commencement"))),
+        ).alias("start"),
+        F.coalesce(
+            started
+            & _per_extract(
+                specs, lambda s: s.blank_commencement_is_charge, lambda yes: F.lit(yes)
+            ),
+            F.lit(False),
+        ).alias("start_is_charge"),
+    )
+    start = F.when(F.col("start_is_charge"), F.col("charge")).otherwise(F.col("start"))
+    typed = {
+        "supplier": F.col("supplier"),
+        "year_charge": F.col("charge.year"),
+        "month_charge": F.col("charge.month"),
+        "billed_rate": _decimal(F.col("rate"), schemas.RATE),
+        "zipcode": F.col("zip"),
+        "num_customers": _integral(F.col("customers")),
+        "totalkwh": _decimal(F.col("kwh"), schemas.KWH),
+        "year_commencement": start["year"],
+        "month_commencement": start["month"],
+        "contractterm": number("term"),
+        "servicechargesfees": _integral(F.col("service_fee")),
+        "term_fee": number("term_fee"),
+        "num_terminations": number("terminations"),
+        "edc": F.col("edc"),
+    }
     # Texts that have to fit, by target column.
     texts = {
-        "billed_rate": _blank_to_null(raw["rate"]),
-        "num_customers": _blank_to_null(raw["customers"]),
-        "totalkwh": _blank_to_null(raw["kwh"]),
-        "contractterm": must_fit("term", term_text),
-        "servicechargesfees": _blank_to_null(raw["service_fee"]),
-        "term_fee": must_fit("term_fee", fee_text),
-        "num_terminations": must_fit("terminations", end_text),
-    }
-    typed = {
-        "supplier": fixed("supplier"),
-        "year_charge": charge_year,
-        "month_charge": charge_month,
-        "billed_rate": _decimal(texts["billed_rate"], schemas.RATE),
-        "zipcode": _per_extract(specs, lambda s: s.zip_prefix, lambda p: zip_text(raw["zip"], p)),
-        "num_customers": _integral(texts["num_customers"]),
-        "totalkwh": _decimal(texts["totalkwh"], schemas.KWH),
-        "year_commencement": commencement(0, charge_year),
-        "month_commencement": commencement(1, charge_month),
-        "contractterm": number("term", term_text),
-        "servicechargesfees": _integral(texts["servicechargesfees"]),
-        "term_fee": number("term_fee", fee_text),
-        "num_terminations": number("terminations", end_text),
-        "edc": F.rtrim(raw["edc"]),
+        "billed_rate": F.col("rate"),
+        "num_customers": F.col("customers"),
+        "totalkwh": F.col("kwh"),
+        "contractterm": must_fit("term"),
+        "servicechargesfees": F.col("service_fee"),
+        "term_fee": must_fit("term_fee"),
+        "num_terminations": must_fit("terminations"),
     }
-    # Two projections: the checks look at finished columns instead of repeating
-    # the rules that make them.
-    carried = [c.alias(f"_text_{n}") for n, c in texts.items()]
-    first = landed.select(*[typed[f.name].alias(f.name) for f in schemas.BILLS], *carried)
+    rows = cells.select(
+        *[typed[f.name].cast(f.dataType).alias(f.name) for f in schemas.BILLS],
+        *[c.alias(f"_text_{n}") for n, c in texts.items()],
+    )
     errors = _errors(
         {n: F.col(f"_text_{n}") for n in texts},
         {f.name: F.col(f.name) for f in schemas.BILLS},
         schemas.BILL_WIDTHS,
     )
-    return _typed(first, schemas.BILLS, errors)
+    return rows.select(*schemas.BILLS.names, errors.alias("load_errors"))
 
 
 def conform_amenities(
@@ -283,13 +288,18 @@ def conform_amenities(
     def cut(chars: int | None, c: Column) -> Column:
         return F.substring(c, 1, chars) if chars else c
 
-    value_text = _per_extract(
-        specs, lambda s: s.value_chars, lambda n: cut(n, F.trim(F.col("value")))
+    numbers = rows.select(
+        "extract",
+        "supplier",
+        F.substring(F.trim("year"), 1, 4).alias("year"),
+        "amenity",
+        _per_extract(specs, lambda s: s.value_chars, lambda n: cut(n, F.trim("value")))
+        .try_cast("decimal(20,6)")
+        .alias("value"),
+        F.trim("redeemed").try_cast("decimal(20,6)").alias("redeemed"),
+        F.trim("cost").try_cast("decimal(20,6)").alias("cost"),
     )
-    value = value_text.try_cast("decimal(20,6)")
-    redeemed = F.trim("redeemed").try_cast("decimal(20,6)")
-    cost = F.trim("cost").try_cast("decimal(20,6)")
-
+    value, redeemed, cost = F.col("value"), F.col("redeemed"), F.col("cost")
     totals = {
         "product": (value * redeemed).try_cast("decimal(20,6)"),
         "redeemed": redeemed,
@@ -306,14 +316,18 @@ def conform_amenities(
         filled = F.coalesce(c, F.lit(zero))
         return F.when(F.col("extract").isin(*zero_filled), filled).otherwise(c)
 
-    shown = _per_extract(specs, lambda s: s.keep_value, lambda keep: value if keep else F.lit(None))
+    shown = _per_extract(
+        specs,
+        lambda s: s.keep_value,
+        lambda keep: value if keep else F.lit(None).cast("decimal(20,6)"),
+    )
     typed = {
         "supplier": _per_extract(
             specs,
             lambda s: s.supplier,
             lambda n: F.lit(n) if n else or_zero(F.rtrim("supplier"), "0"),
         ),
-        "year": or_zero(F.substring(F.trim("year"), 1, 4), "0"),
+        "year": or_zero(F.col("year"), "0"),
         "amenity": _per_extract(
             specs, lambda s: s.amenity_chars, lambda n: or_zero(cut(n, F.col("amenity")), "0")
         ),
@@ -321,7 +335,7 @@ def conform_amenities(
         "num_redeemed": or_zero(redeemed),
         "total_value_redeemed": _per_extract(specs, lambda s: s.total, totals.__getitem__),
     }
-    first = rows.select(*[c.alias(n) for n, c in typed.items()])
+    first = numbers.select(*[c.alias(n) for n, c in typed.items()])
     decimals = ("alleged_value", "num_redeemed", "total_value_redeemed")
     fitted = first.select(
         *["supplier", "year", "amenity"],
@@ -333,20 +347,13 @@ def conform_amenities(
         {f.name: F.col(f.name) for f in schemas.AMENITIES},
         schemas.AMENITY_WIDTHS,
     )
-    return _typed(fitted, schemas.AMENITIES, errors)
+    return fitted.select(*schemas.AMENITIES.names, errors.alias("load_errors"))
 
 
 def _decimal(text: Column, kind: str) -> Column:
     return text.try_cast("decimal(38,18)").try_cast(kind)
 
 
-def _typed(df: DataFrame, schema: T.StructType, errors: Column) -> DataFrame:
-    return df.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema],
-        errors.alias("load_errors"),
-    )
-
-
 def accepted(loaded: DataFrame) -> DataFrame:
     return loaded.filter(F.col("load_errors").isNull()).drop("load_errors")
 

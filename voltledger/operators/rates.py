@@ -31,9 +31,9 @@ COMPARED = (
 def standard_rates(sheet: DataFrame) -> DataFrame:
     """Wide monthly sheet in cents -> (year_month, edc, standard_rate) in dollars."""
     long = sheet.unpivot(["date_concat"], list(SHEET_COLUMNS.values()), "rate_column", "cents")
-    edc = F.lit(None).cast("string")
+    edc = F
     for code, column in SHEET_COLUMNS.items():
-        edc = F.when(F.col("rate_column") == column, F.lit(code)).otherwise(edc)
+        edc = edc.when(F.col("rate_column") == column, F.lit(code))
     return long.select(
         F.col("date_concat").alias("year_month"),
         edc.alias("edc"),

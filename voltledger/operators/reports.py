@@ -15,17 +15,26 @@ def report(sections: Mapping[str, DataFrame], column: str = "section") -> DataFr
     return reduce(DataFrame.unionByName, named)
 
 
-def with_total(df: DataFrame, label_col: str, label: str, aggs: Mapping[str, Column]) -> DataFrame:
+def with_total(
+    df: DataFrame,
+    label_col: str,
+    label: str,
+    aggs: Mapping[str, Column],
+    within: Sequence[str] = (),
+) -> DataFrame:
     """Per-label aggregates and their grand total in one pass.
 
-    Grouping sets expand every input row to two, so hand in an already aggregated
-    frame of few rows, as the report products do.
+    ``within`` are further columns the rows are kept apart by; they are NULL in
+    the total.  Grouping sets expand every input row to two, so hand in an already
+    aggregated frame of few rows, as the report products do.
     """
-    grouped = df.groupingSets([[label_col], []], label_col).agg(
+    keys = [label_col, *within]
+    grouped = df.groupingSets([keys, []], *keys).agg(
         F.grouping(label_col).alias("_total"), *[c.alias(n) for n, c in aggs.items()]
     )
     return grouped.select(
         F.when(F.col("_total") == 1, F.lit(label)).otherwise(F.col(label_col)).alias(label_col),
+        *within,
         *aggs,
     )
 

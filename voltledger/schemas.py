@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+def _type(name: str) -> T.DataType:
+    if name.startswith("decimal"):
+        precision, scale = name[len("decimal(") : -1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return {"string": T.StringType(), "int": T.IntegerType()}[name]
+
+
 def _struct(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.DataType.fromDDL(t), True) for n, t in fields])
+    return T.StructType([T.StructField(n, _type(t), True) for n, t in fields])
 
 
 RATE = "decimal(6,5)"

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_extract(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV sheet with a heading line, all text; no pass over the data to guess types."""
+def read_extract(
+    spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """CSV sheet with a heading line, all text; no pass over the data to guess types.
+
+    ``multi_line`` is for sheets with line breaks in headings or cells; Spark then
+    reads each file in one task, so give it sheet-sized files only.
+    """
     return (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("inferSchema", False)
         .csv(path)
     )
