@@ -130,6 +130,8 @@ COMMENCEMENT_MARKS = {
 MARK_IS_ONE_MONTH = ("nge", "direct", "energyplus", "nap", "reliant", "clearview")
 MARK_IS_CHARGE_MONTH = ("direct", "energyplus", "nap")
 MARK_IS_MISSING = ("public", "reliant", "clearview")
+# Extracts that kept the leading zero; a lost code stays missing only there.
+WHOLE_ZIP = tuple(s.name for s in BILL_SPECS if s.zip_prefix == "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,20 +144,20 @@ def _pick(index: Column, values) -> Column:
 
 
 def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+    return F.floor(F.col(c) * 100 + F.lit(0.5))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of a bill line as plain numbers."""
     mark = _cents("l_discount") * 9 + _cents("l_tax")
-    late = (mark == 88) & (F.col("l_quantity") == 50)
+    late = (mark == 88) & (F.col("l_quantity") == 50) & (F.col("l_linenumber") <= 4)
     year = F.year("l_shipdate") + YEAR_SHIFT
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % len(SUPPLIERS)).cast("int").alias("who"),
         mark.cast("int").alias("mark"),
         F.when(late, int(UNCOVERED_YEAR)).otherwise(year).alias("y"),
         F.month("l_shipdate").alias("m"),
-        (_cents("l_extendedprice") % 20011).alias("price"),
+        (_cents("l_extendedprice") % 30011).alias("price"),
         (F.col("l_orderkey") % 1000).cast("int").alias("place"),
         F.col("l_linenumber").alias("n"),
         F.col("l_quantity").cast("int").alias("qty"),
@@ -196,7 +198,7 @@ def _kwh() -> Column:
 
 def _customers() -> Column:
     return (
-        F.when((F.col("mark") == 89) & (F.col("qty") == 50), F.lit(None))
+        F.when((F.col("mark") == 89) & (F.col("qty") == 50) & (F.col("n") <= 2), F.lit(None))
         .when(F.col("mark") == 86, F.lit(0))
         .otherwise(F.col("n"))
     )
@@ -207,8 +209,8 @@ def _zip() -> Column:
     return (
         F.when(F.col("mark") == 94, F.concat(F.lit("07"), place))
         .when(F.col("mark") == 93, F.concat(F.lit("06"), F.substring(place, 2, 2)))
-        .when(F.col("mark") == 91, F.lit(None))
-        .when(F.col("mark") == 90, F.lit("0NA"))
+        .when((F.col("mark") == 91) & _is(WHOLE_ZIP), F.lit(None))
+        .when(F.col("mark").isin(90, 91), F.lit("0NA"))
         .otherwise(F.concat(F.lit("06"), place))
     )
 
@@ -290,7 +292,6 @@ def landed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marked = F.col("months") == 0
     start = written(starts, F.col("y") - 1, F.col("start_month"))
-    bare = [s.name for s in BILL_SPECS if s.zip_prefix == ""]
     zipcode = _zip()
     # Extracts that lost the leading zero; a lost code comes out as 0NA again.
     short = F.when(zipcode == "0NA", F.lit(None)).otherwise(F.substring(zipcode, 2, 4))
@@ -302,7 +303,7 @@ def landed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("who"), SUPPLIERS.values()).alias("supplier"),
         written(by_style, F.col("y"), F.col("m")).alias("charge"),
         _rate().cast("string").alias("rate"),
-        F.when(_is(bare), F.rpad(zipcode, 7, " ")).otherwise(short).alias("zip"),
+        F.when(_is(WHOLE_ZIP), F.rpad(zipcode, 7, " ")).otherwise(short).alias("zip"),
         _customers().cast("string").alias("customers"),
         _kwh().cast("string").alias("kwh"),
         F.when(

@@ -9,7 +9,11 @@ from voltledger.functions import money, percent, ratio, thousands
 from voltledger.operators import with_total
 from voltledger.plans.inputs import Inputs
 
-_SUMS = {c: F.sum(c) for c in ("value_redeemed", "total_bills", "total_overpayment")}
+_SUMMED = ("value_redeemed", "total_bills", "total_overpayment")
+
+
+def _sums() -> dict[str, Column]:
+    return {c: F.sum(c) for c in _SUMMED}
 
 
 def amenities_all(t: Inputs) -> DataFrame:
@@ -39,7 +43,7 @@ def amenity_summary_by_year(t: Inputs) -> DataFrame:
     """By year, for years with both amenities and bills, and their total."""
     bills = _bills(t, "year_charge").withColumnRenamed("year_charge", "year")
     joined = _value(t, "year").join(bills, "year")
-    return _with_shares(with_total(joined, "year", "Total", _SUMS))
+    return _with_shares(with_total(joined, "year", "Total", _sums()))
 
 
 def amenity_summary_by_supplier(t: Inputs) -> DataFrame:
@@ -55,9 +59,9 @@ def amenity_summary_by_supplier(t: Inputs) -> DataFrame:
         )
         .withColumn("_who", F.coalesce("b.supplier", "v.supplier"))
         .withColumn("_side", F.coalesce("_billed", F.lit(False)))
-        .select(F.col("_who").alias("supplier"), "_side", *_SUMS)
+        .select(F.col("_who").alias("supplier"), "_side", *_SUMMED)
     )
-    summed = with_total(full, "supplier", "All", _SUMS, within=["_side"])
+    summed = with_total(full, "supplier", "All", _sums(), within=["_side"])
     shown = _with_shares(summed.filter(F.col("_side").isNull() | F.col("_side"))).drop("_side")
     return shown.select("supplier", *[_zero(c) for c in shown.columns if c != "supplier"])
 
