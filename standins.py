@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltledger import schemas
-from voltledger.operators import accepted, conform_amenities, conform_bills
+from voltledger.operators import accepted, conform_amenities, conform_bills, conform_landed
 from voltledger.plans import Inputs
-from voltledger.session import shared_folder
+from voltledger.session import shared_folder, small_methods
 from voltledger.sources import (
     AMENITY_SPECS,
     BILL_SPECS,
@@ -35,7 +35,7 @@ from voltledger.sources import (
     participation_counts,
     population,
     rate_sheet,
-    write_by_year,
+    write_by,
     zip_crosswalk,
 )
 from voltledger.sources.usage import PARTICIPATION_COLUMNS
@@ -321,8 +321,9 @@ def landed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conformed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extract text back to bills through the supplier specs, in one pass."""
-    return conform_bills(landed_bills(spark, sf_dir), BILL_SPECS)
+    """Extract text, stored by extract, back to bills through the supplier specs."""
+    landed = _store(spark, sf_dir, "landed_bills", landed_bills, part="extract")
+    return conform_landed(landed, BILL_SPECS, conform_bills)
 
 
 def green(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,7 +523,10 @@ def landed_amenities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amenities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loaded = conform_amenities(landed_amenities(spark, sf_dir), AMENITY_SPECS, CORRECTIONS)
+    landed = _store(spark, sf_dir, "landed_amenities", landed_amenities, part="extract")
+    loaded = conform_landed(
+        landed, AMENITY_SPECS, lambda rows, spec: conform_amenities(rows, spec, CORRECTIONS)
+    )
     return clean_amenities(accepted(loaded))
 
 
@@ -534,7 +538,7 @@ def _store(
     sf_dir: str,
     name: str,
     build: Callable[[SparkSession, str], DataFrame],
-    year: str | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """A derived input as a stored table of the session, written once.
 
@@ -552,10 +556,11 @@ def _store(
         else:
             source = re.sub(r"\W+", "_", sf_dir)
             path = f"{folder}/standins/{key[0]}/{source}/{name}"
-            if year:
-                write_by_year(built, path, year)
-            else:
-                built.write.mode("overwrite").parquet(path)
+            with small_methods(spark):
+                if part:
+                    write_by(built, path, part)
+                else:
+                    built.write.mode("overwrite").parquet(path)
             _stored[key] = spark.read.schema(built.schema).parquet(path).select(*built.columns)
     return _stored[key]
 
@@ -567,13 +572,13 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         return lambda: _store(spark, sf_dir, name, lambda s, d: source(raw(s, d)))
 
     return Inputs(
-        bills=lambda: _store(spark, sf_dir, "bills", bills, year="year_charge"),
-        green=lambda: green(spark, sf_dir),
+        bills=lambda: _store(spark, sf_dir, "bills", bills, part="year_charge"),
+        green=lambda: _store(spark, sf_dir, "green", green, part="year_charge"),
         rate_sheet=dimension("rates", rate_sheet, raw_rates),
         income=dimension("income", acs_income, raw_income),
         crosswalk=dimension("crosswalk", zip_crosswalk, raw_crosswalk),
         participation=lambda: participation(spark, sf_dir),
-        amenities=lambda: amenities(spark, sf_dir),
+        amenities=lambda: _store(spark, sf_dir, "amenities", amenities),
         minority=dimension("minority", minority_share, raw_minority),
         english=dimension("english", low_english, raw_english),
         population=dimension("population", population, raw_population),

@@ -15,13 +15,15 @@ _MONTHS = {
     for name in (calendar.month_name[i], calendar.month_abbr[i])
 }
 
+# One parsed literal; built call by call it would cost as much as a whole spec.
+_MONTH_MAP = "map(" + ", ".join(f"'{name}', '{n}'" for name, n in _MONTHS.items()) + ")"
+
 EXCEL_ORIGIN = "1899-12-30"
 
 
 def month_number(name: Column | str) -> Column:
     """Two-digit month for an English month name or its three-letter form."""
-    months = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
-    return F.try_element_at(months, F.lower(F.trim(_col(name))))
+    return F.try_element_at(F.expr(_MONTH_MAP), F.lower(F.trim(_col(name))))
 
 
 def excel_date(serial: Column | str, origin: str = EXCEL_ORIGIN) -> Column:

@@ -18,6 +18,7 @@ from voltledger.operators.conform import (
     accepted,
     conform_amenities,
     conform_bills,
+    conform_landed,
     land,
     rejected,
     stack,
@@ -42,6 +43,7 @@ __all__ = [
     "compare_rates",
     "conform_amenities",
     "conform_bills",
+    "conform_landed",
     "control_totals",
     "correct",
     "drop_where",

@@ -67,9 +67,9 @@ def clamp_negative(value: Column) -> Column:
 def clean_bills(bills: DataFrame, zip_prefix: str = "06", zip_length: int = 5) -> DataFrame:
     """Bills fit for comparison: rate and kWh present and not negative, postal
     code in the state, utility names unified.  A missing postal code is kept."""
-    kept = bills.dropna(subset=["billed_rate", "totalkwh"])
+    # Single null tests, unlike dropna, are handed to the Parquet reader.
     kept = drop_where(
-        kept,
+        bills.filter(F.col("billed_rate").isNotNull() & F.col("totalkwh").isNotNull()),
         F.col("totalkwh") < 0,
         F.col("billed_rate") < 0,
         ~F.col("zipcode").startswith(zip_prefix),

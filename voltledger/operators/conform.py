@@ -3,10 +3,14 @@
 Loading has two narrow steps and no shuffle:
 
 * ``land`` renames the columns of one extract to shared raw names, all text, and
-  tags the rows with the extract's name.  Landed extracts stack into one table.
-* ``conform_bills`` / ``conform_amenities`` turn a landed table into typed rows.
-  Extracts that share a rule share its expression, so a table holding every
-  extract is read once rather than once per extract.
+  tags the rows with the extract's name.  Landed extracts stack into one table,
+  stored by extract.
+* ``conform_bills`` / ``conform_amenities`` turn the landed rows of one extract
+  into typed rows by its spec.  ``conform_landed`` does so for every extract of a
+  landed table: one branch per spec, each reading its own partition only, each
+  with code small enough for the JVM to compile.  (One CASE over all specs reads
+  the same data but makes methods the JVM leaves interpreted, several times
+  slower.)
 
 A value that does not fit its column does not lose the extract: the row gets a
 ``load_errors`` text naming the columns, and ``accepted`` / ``rejected`` divide
@@ -18,13 +22,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltledger import schemas
-from voltledger.functions import excel_date, int_or_null, month_number, zip_text
+from voltledger.functions import excel_date, month_number, zip_text
 from voltledger.operators.cleanse import correct
 
 BILL_RAW = (
@@ -108,23 +112,12 @@ def land(extract: DataFrame, spec: BillSpec | AmenitySpec, raw: Sequence[str] |
 
 
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
-    """All landed extracts as one table."""
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _per_extract(specs: Sequence, rule: Callable, build: Callable[[object], Column]) -> Column:
-    """CASE over the extract name with one branch per distinct rule."""
-    groups: dict[object, list[str]] = {}
-    for spec in specs:
-        groups.setdefault(rule(spec), []).append(spec.name)
-    ordered = sorted(groups.items(), key=lambda kv: -len(kv[1]))
-    common, rest = ordered[0], ordered[1:]
-    if not rest:
-        return build(common[0])
-    out = F
-    for key, names in rest:
-        out = out.when(F.col("extract").isin(*names), build(key))
-    return out.otherwise(build(common[0]))
+    """All frames as one, joined up in pairs so that the plan stays shallow."""
+    level = list(frames)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return level[0]
 
 
 def _month_of(style: str, c: Column) -> Column:
@@ -140,234 +133,178 @@ def _month_of(style: str, c: Column) -> Column:
         year = F.concat(F.lit("20"), F.substring_index(c, "/", -1))
         month = F.lpad(F.substring_index(c, "/", 1), 2, "0")
     else:
-        year = F.regexp_extract(c, r"(\d+)$", 1)
+        year = F.right(c, F.lit(4)) if style == "name_yyyy" else F.right(c, F.lit(2))
         if style == "name_yy":
             year = F.concat(F.lit("20"), year)
-        month = month_number(F.regexp_extract(c, r"^([A-Za-z]+)", 1))
+        month = month_number(F.substring(c, 1, 3))
     return F.struct(year.alias("year"), month.alias("month"))
 
 
-def _finished(df: DataFrame, columns: Iterable[Column]) -> DataFrame:
-    """Projection that later filters stay above.
+def _literal(text: str | None) -> str:
+    return "CAST(NULL AS STRING)" if text is None else "'" + text.replace("'", "\\'") + "'"
 
-    The optimizer moves a filter below a plain projection by copying the
-    projected expressions into it.  Here that would repeat every conforming rule
-    inside the test for load errors; a one-row generator stops it.
-    """
-    return df.select(F.inline(F.array(F.struct(*columns))))
 
+_IS_BLANK = "{c} IN (" + ", ".join(_literal(b) for b in BLANKS) + ")"
 
-def _integral(text: Column) -> Column:
-    """Whole number in text (``12`` or ``12.0``), NULL for anything else."""
-    number = text.try_cast("decimal(20,6)")
-    return F.when(number == F.floor(number), number).try_cast("int")
 
+def _whole_number(name: str) -> str:
+    """``12`` and ``12.0`` but not ``12.5``, which would not load as an integer."""
+    return (
+        f"coalesce(try_cast({name} AS INT), "
+        f"try_cast(regexp_replace({name}, '[.]0*$', '') AS INT))"
+    )
 
-def _errors(raw: Mapping[str, Column], typed: Mapping[str, Column], widths: Mapping[str, int]) -> Column:
-    """Names of the columns whose text did not fit, NULL if all did."""
-    checks = [F.when(raw[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in raw]
-    checks += [F.when(F.length(typed[n]) > w, F.lit(n)) for n, w in widths.items()]
-    return F.nullif(F.concat_ws(",", *checks), F.lit(""))
 
+def _leading_number(name: str) -> str:
+    """Number before an optional ``Months``; NULL for any other text."""
+    bare = f"regexp_replace({name}, '(?i) *months?$', '')"
+    return f"coalesce(try_cast({name} AS INT), try_cast(try_cast({bare} AS DOUBLE) AS INT))"
 
-def conform_bills(landed: DataFrame, specs: Sequence[BillSpec]) -> DataFrame:
-    """Landed bill extracts -> bill schema plus ``load_errors``.
 
-    Four projections, each reading finished columns of the one before, so that no
-    rule is evaluated, or compiled, more than once.
-    """
+def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
+    """Landed rows of one bill extract -> bill schema plus ``load_errors``.
 
-    def text(name: str) -> Column:
-        """The cell, or the constant the spec puts in its place."""
-        return _per_extract(
-            specs,
-            lambda s: s.constants.get(name),
-            lambda value: F.trim(name) if value is None else F.lit(value),
-        )
+    Projections in steps, each reading finished columns of the one before, so that
+    no rule is evaluated, or compiled, more than once.
+    """
+    trimmed = landed.selectExpr(
+        *[
+            f"trim({n}) AS {n}" if n not in spec.constants else f"{_literal(spec.constants[n])} AS {n}"
+            for n in BILL_RAW
+        ]
+    )
 
     def unmarked(name: str) -> Column:
         """The cell with blank marks replaced by what they stand for."""
-
-        def build(default):
-            stands_for = F.lit(None if default is None else str(default)).cast("string")
-            return F.when(F.col(name).isin(*BLANKS), stands_for).otherwise(F.col(name))
-
-        return _per_extract(specs, lambda s: s.blanks.get(name), build)
-
-    def number(name: str) -> Column:
-        def build(loose):
-            if not loose:
-                return _integral(F.col(name))
-            return int_or_null(F.regexp_replace(name, r"(?i)\s*months?$", ""))
-
-        return _per_extract(specs, lambda s: name in s.loose, build)
-
-    def must_fit(name: str) -> Column:
-        return _per_extract(
-            specs,
-            lambda s: name in s.loose,
-            lambda loose: F.lit(None).cast("string") if loose else F.col(name),
-        )
+        mark = _literal(str(spec.blanks[name]) if name in spec.blanks else None)
+        return F.expr(f"IF({_IS_BLANK.format(c=name)}, {mark}, {name}) AS {name}")
 
     numbers = ("rate", "customers", "kwh", "term", "service_fee", "term_fee", "terminations")
-    trimmed = landed.select("extract", *[text(n).alias(n) for n in BILL_RAW])
-    started = F.col("commencement").isin(*BLANKS)
+    marked = F.expr(f"coalesce({_IS_BLANK.format(c='commencement')}, false)")
     cells = trimmed.select(
-        "extract",
         "supplier",
         "edc",
-        _per_extract(specs, lambda s: s.zip_prefix, lambda p: zip_text("zip", p)).alias("zip"),
-        *[unmarked(n).alias(n) for n in numbers],
-        _per_extract(
-            specs, lambda s: s.charge, lambda style: _month_of(style, F.col("charge"))
-        ).alias("charge"),
-        _per_extract(
-            specs,
-            lambda s: s.commencement,
-            lambda style: F.when(~started, _month_of(style, F.col("commencement"))),
-        ).alias("start"),
-        F.coalesce(
-            started
-            & _per_extract(
-                specs, lambda s: s.blank_commencement_is_charge, lambda yes: F.lit(yes)
-            ),
-            F.lit(False),
-        ).alias("start_is_charge"),
+        zip_text("zip", spec.zip_prefix).alias("zip"),
+        *[unmarked(n) for n in numbers],
+        _month_of(spec.charge, F.col("charge")).alias("charge"),
+        F.when(~marked, _month_of(spec.commencement, F.col("commencement"))).alias("start"),
+        marked.alias("start_marked"),
     )
-    start = F.when(F.col("start_is_charge"), F.col("charge")).otherwise(F.col("start"))
+
+    def number(name: str) -> str:
+        return _leading_number(name) if name in spec.loose else _whole_number(name)
+
+    start = "IF(start_marked, charge, start)" if spec.blank_commencement_is_charge else "start"
     typed = {
-        "supplier": F.col("supplier"),
-        "year_charge": F.col("charge.year"),
-        "month_charge": F.col("charge.month"),
-        "billed_rate": _decimal(F.col("rate"), schemas.RATE),
-        "zipcode": F.col("zip"),
-        "num_customers": _integral(F.col("customers")),
-        "totalkwh": _decimal(F.col("kwh"), schemas.KWH),
-        "year_commencement": start["year"],
-        "month_commencement": start["month"],
+        "supplier": "supplier",
+        "year_charge": "charge.year",
+        "month_charge": "charge.month",
+        "billed_rate": f"try_cast(try_cast(rate AS DECIMAL(38,18)) AS {schemas.RATE})",
+        "zipcode": "zip",
+        "num_customers": _whole_number("customers"),
+        "totalkwh": f"try_cast(try_cast(kwh AS DECIMAL(38,18)) AS {schemas.KWH})",
+        "year_commencement": f"{start}.year" if start == "start" else f"({start}).year",
+        "month_commencement": f"{start}.month" if start == "start" else f"({start}).month",
         "contractterm": number("term"),
-        "servicechargesfees": _integral(F.col("service_fee")),
+        "servicechargesfees": _whole_number("service_fee"),
         "term_fee": number("term_fee"),
         "num_terminations": number("terminations"),
-        "edc": F.col("edc"),
+        "edc": "edc",
     }
-    # Texts that have to fit, by target column.
+    # Texts that have to fit, by target column; a loose one may be anything.
     texts = {
-        "billed_rate": F.col("rate"),
-        "num_customers": F.col("customers"),
-        "totalkwh": F.col("kwh"),
-        "contractterm": must_fit("term"),
-        "servicechargesfees": F.col("service_fee"),
-        "term_fee": must_fit("term_fee"),
-        "num_terminations": must_fit("terminations"),
+        "billed_rate": "rate",
+        "num_customers": "customers",
+        "totalkwh": "kwh",
+        "contractterm": "term",
+        "servicechargesfees": "service_fee",
+        "term_fee": "term_fee",
+        "num_terminations": "terminations",
     }
-    rows = _finished(
-        cells,
-        [
-            *[typed[f.name].cast(f.dataType).alias(f.name) for f in schemas.BILLS],
-            *[c.alias(f"_text_{n}") for n, c in texts.items()],
-        ],
-    )
-    errors = _errors(
-        {n: F.col(f"_text_{n}") for n in texts},
-        {f.name: F.col(f.name) for f in schemas.BILLS},
-        schemas.BILL_WIDTHS,
-    )
-    return rows.select(*schemas.BILLS.names, errors.alias("load_errors"))
+    texts = {target: raw for target, raw in texts.items() if raw not in spec.loose}
+    return _checked(cells, typed, texts, schemas.BILLS, schemas.BILL_WIDTHS)
 
 
 def conform_amenities(
-    landed: DataFrame,
-    specs: Sequence[AmenitySpec],
-    corrections: Mapping[str, Sequence] | None = None,
+    landed: DataFrame, spec: AmenitySpec, corrections: Mapping[str, Sequence] | None = None
 ) -> DataFrame:
-    """Landed amenity extracts -> amenity schema plus ``load_errors``.
+    """Landed rows of one amenity extract -> amenity schema plus ``load_errors``.
 
-    ``corrections`` maps an extract's name to its keyed corrections on raw text.
+    ``corrections`` maps extract names to keyed corrections on the raw text.
     """
-    rows = landed.filter(F.col("extract").isin(*[s.name for s in specs if s.stored]))
-    for spec in specs:
-        if spec.drop is not None:
-            # A missing value is dropped with the rows the rule names.
-            rows = rows.filter((F.col("extract") != spec.name) | F.coalesce(~spec.drop(), F.lit(False)))
-    keyed = [
-        ({"extract": name, **match}, values)
-        for name, rules in (corrections or {}).items()
-        for match, values in rules
-    ]
-    rows = correct(rows, keyed)
-    specs = [s for s in specs if s.stored]
-
-    def cut(chars: int | None, c: Column) -> Column:
-        return F.substring(c, 1, chars) if chars else c
-
-    numbers = rows.select(
-        "extract",
-        "supplier",
-        F.substring(F.trim("year"), 1, 4).alias("year"),
-        "amenity",
-        _per_extract(specs, lambda s: s.value_chars, lambda n: cut(n, F.trim("value")))
-        .try_cast("decimal(20,6)")
-        .alias("value"),
-        F.trim("redeemed").try_cast("decimal(20,6)").alias("redeemed"),
-        F.trim("cost").try_cast("decimal(20,6)").alias("cost"),
+    rows = landed
+    if spec.drop is not None:
+        # A missing value goes with the rows the rule names.
+        rows = rows.filter(F.coalesce(~spec.drop(), F.lit(False)))
+    rows = correct(rows, (corrections or {}).get(spec.name, ()))
+    value = f"substring(trim(value), 1, {spec.value_chars})" if spec.value_chars else "trim(value)"
+    amenity = f"substring(amenity, 1, {spec.amenity_chars})" if spec.amenity_chars else "amenity"
+    kind = "DECIMAL(20,6)"
+    cells = rows.selectExpr(
+        f"{_literal(spec.supplier) if spec.supplier else 'rtrim(supplier)'} AS supplier",
+        "substring(trim(year), 1, 4) AS year",
+        f"{amenity} AS amenity",
+        f"try_cast({value} AS {kind}) AS value",
+        f"try_cast(trim(redeemed) AS {kind}) AS redeemed",
+        f"try_cast(trim(cost) AS {kind}) AS cost",
     )
-    value, redeemed, cost = F.col("value"), F.col("redeemed"), F.col("cost")
     totals = {
-        "product": (value * redeemed).try_cast("decimal(20,6)"),
-        "redeemed": redeemed,
-        "value": value,
-        "cost": cost,
-        "cost_or_redeemed": F.coalesce(cost, redeemed),
-        "cost_or_zero": F.coalesce(cost, F.lit(0)),
+        "product": f"try_cast(try_multiply(value, redeemed) AS {kind})",
+        "redeemed": "redeemed",
+        "value": "value",
+        "cost": "cost",
+        "cost_or_redeemed": "coalesce(cost, redeemed)",
+        "cost_or_zero": f"coalesce(cost, CAST(0 AS {kind}))",
     }
-    zero_filled = [s.name for s in specs if s.total == "cost_or_zero"]
-
-    def or_zero(c: Column, zero: object = 0) -> Column:
-        if not zero_filled:
-            return c
-        filled = F.coalesce(c, F.lit(zero))
-        return F.when(F.col("extract").isin(*zero_filled), filled).otherwise(c)
-
-    shown = _per_extract(
-        specs,
-        lambda s: s.keep_value,
-        lambda keep: value if keep else F.lit(None).cast("decimal(20,6)"),
-    )
-    typed = {
-        "supplier": _per_extract(
-            specs,
-            lambda s: s.supplier,
-            lambda n: F.lit(n) if n else or_zero(F.rtrim("supplier"), "0"),
-        ),
-        "year": or_zero(F.col("year"), "0"),
-        "amenity": _per_extract(
-            specs, lambda s: s.amenity_chars, lambda n: or_zero(cut(n, F.col("amenity")), "0")
-        ),
-        "alleged_value": or_zero(shown),
-        "num_redeemed": or_zero(redeemed),
-        "total_value_redeemed": _per_extract(specs, lambda s: s.total, totals.__getitem__),
+
+    def filled(expression: str, zero: str) -> str:
+        """0 for every missing cell of the extracts that ask for it."""
+        return f"coalesce({expression}, {zero})" if spec.total == "cost_or_zero" else expression
+
+    shown = "value" if spec.keep_value else f"CAST(NULL AS {kind})"
+    no_amount = f"CAST(0 AS {kind})"
+    amounts = {
+        "alleged_value": filled(shown, no_amount),
+        "num_redeemed": filled("redeemed", no_amount),
+        "total_value_redeemed": totals[spec.total],
     }
-    first = numbers.select(*[c.alias(n) for n, c in typed.items()])
-    decimals = ("alleged_value", "num_redeemed", "total_value_redeemed")
-    fitted = _finished(
-        first,
-        [
-            *[F.col(n) for n in ("supplier", "year", "amenity")],
-            *[F.col(n).alias(f"_text_{n}") for n in decimals],
-            *[F.col(n).try_cast(schemas.AMENITIES[n].dataType).alias(n) for n in decimals],
-        ],
+    first = cells.selectExpr(
+        *[f"{filled(n, _literal('0'))} AS {n}" for n in ("supplier", "year", "amenity")],
+        *[f"{e} AS {n}" for n, e in amounts.items()],
     )
-    errors = _errors(
-        {n: F.col(f"_text_{n}") for n in decimals},
-        {f.name: F.col(f.name) for f in schemas.AMENITIES},
-        schemas.AMENITY_WIDTHS,
-    )
-    return fitted.select(*schemas.AMENITIES.names, errors.alias("load_errors"))
+    typed = {n: n for n in ("supplier", "year", "amenity")}
+    typed |= {n: f"try_cast({n} AS {schemas.AMENITIES[n].dataType.simpleString()})" for n in amounts}
+    return _checked(first, typed, {n: n for n in amounts}, schemas.AMENITIES, schemas.AMENITY_WIDTHS)
+
 
+def _checked(
+    df: DataFrame,
+    typed: Mapping[str, str],
+    texts: Mapping[str, str],
+    schema: T.StructType,
+    widths: Mapping[str, int],
+) -> DataFrame:
+    """Typed columns and the names of those whose text did not fit them.
 
-def _decimal(text: Column, kind: str) -> Column:
-    return text.try_cast("decimal(38,18)").try_cast(kind)
+    The optimizer moves a filter below a plain projection by copying the projected
+    expressions into it; for a filter on ``load_errors`` that would evaluate every
+    rule again.  The one-row generator (``inline``) keeps such filters above it.
+    """
+    columns = [f"'{f.name}', {typed[f.name]}" for f in schema]
+    columns += [f"'_text_{target}', {source}" for target, source in texts.items()]
+    rows = df.selectExpr(f"inline(array(named_struct({', '.join(columns)})))")
+    checks = [f"IF(_text_{n} IS NOT NULL AND {n} IS NULL, '{n}', NULL)" for n in texts]
+    checks += [f"IF(length({n}) > {width}, '{n}', NULL)" for n, width in widths.items()]
+    errors = f"nullif(concat_ws(',', {', '.join(checks)}), '') AS load_errors"
+    return rows.selectExpr(*schema.names, errors)
+
+
+def conform_landed(
+    landed: DataFrame, specs: Sequence, conform: Callable[[DataFrame, object], DataFrame]
+) -> DataFrame:
+    """Every extract of a landed table, which is best stored by ``extract``."""
+    stored = [s for s in specs if getattr(s, "stored", True)]
+    return stack(conform(landed.filter(F.col("extract") == s.name), s) for s in stored)
 
 
 def accepted(loaded: DataFrame) -> DataFrame:

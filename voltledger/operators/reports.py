@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,16 +39,32 @@ def with_total(
     )
 
 
+# Buckets of the first round of ``top_bottom``.
+_BUCKETS = 64
+
+
 def top_bottom(df: DataFrame, by: str, n_low: int, n_high: int, tie: str) -> DataFrame:
     """The ``n_low`` lowest and ``n_high`` highest rows by a measure.
 
-    Each side is a top-n per partition merged on n rows; ``tie`` makes the choice
-    among equal values stable.  A row on both sides is returned once.
+    Two ``orderBy().limit()`` would compute ``df`` twice.  Here the rows are ranked
+    from both ends inside hash buckets, and only each bucket's extremes, at most
+    ``_BUCKETS * (n_low + n_high)`` rows, are ranked once more together; every row
+    of the result is an extreme of its bucket, so nothing is lost.  ``tie`` makes
+    the choice among equal values stable.  A row on both sides is returned once.
     """
+
+    def extremes(rows: DataFrame, *within: Column) -> DataFrame:
+        low = Window.partitionBy(*within).orderBy(F.col(by).asc(), F.col(tie).asc())
+        high = Window.partitionBy(*within).orderBy(F.col(by).desc(), F.col(tie).asc())
+        ranked = rows.withColumns(
+            {"_low": F.row_number().over(low), "_high": F.row_number().over(high)}
+        )
+        kept = ranked.filter((F.col("_low") <= n_low) | (F.col("_high") <= n_high))
+        return kept.drop("_low", "_high")
+
     known = df.filter(F.col(by).isNotNull())
-    low = known.orderBy(F.col(by).asc(), F.col(tie).asc()).limit(n_low)
-    high = known.orderBy(F.col(by).desc(), F.col(tie).asc()).limit(n_high)
-    return low.union(high).distinct()
+    first = extremes(known, F.pmod(F.hash(tie), F.lit(_BUCKETS)))
+    return extremes(first, F.lit(0)).distinct()
 
 
 def control_totals(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:

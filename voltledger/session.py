@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,9 @@ def build_session(master: str | None = None, app: str = "voltledger", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The JVM leaves larger methods interpreted; beyond this size Spark uses
+        # its row operators, whose code is split into small methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }
@@ -31,6 +36,18 @@ def build_session(master: str | None = None, app: str = "voltledger", **conf: st
     return builder.getOrCreate()
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """``hugeMethodLimit`` as above for an action run inside, whatever the session."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, for small derived tables.
 

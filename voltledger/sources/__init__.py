@@ -19,6 +19,7 @@ from voltledger.sources.sinks import (
     append_table,
     bill_audit,
     overwrite_table,
+    write_by,
     write_by_year,
     write_load,
     write_report,
@@ -47,6 +48,7 @@ __all__ = [
     "read_positional",
     "union_amenities",
     "union_bills",
+    "write_by",
     "write_by_year",
     "write_load",
     "write_report",

@@ -147,9 +147,11 @@ def clean_amenities(df: DataFrame, years: Sequence[str] = STUDY_YEARS) -> DataFr
 
 def load_amenities(extracts: dict[str, DataFrame]) -> DataFrame:
     """Raw extracts by spec name -> amenity schema plus ``load_errors``."""
-    specs = [s for s in AMENITY_SPECS if s.name in extracts]
-    landed = stack(land(extracts[s.name], s) for s in specs)
-    return conform_amenities(landed, specs, CORRECTIONS)
+    return stack(
+        conform_amenities(land(extracts[s.name], s), s, CORRECTIONS)
+        for s in AMENITY_SPECS
+        if s.stored and s.name in extracts
+    )
 
 
 def union_amenities(extracts: dict[str, DataFrame]) -> DataFrame:

@@ -450,8 +450,9 @@ BILL_SPECS: tuple[BillSpec, ...] = (
 
 def load_bills(extracts: dict[str, DataFrame]) -> DataFrame:
     """Raw extracts by spec name -> bill schema plus ``load_errors``."""
-    specs = [s for s in BILL_SPECS if s.name in extracts]
-    return conform_bills(stack(land(extracts[s.name], s) for s in specs), specs)
+    return stack(
+        conform_bills(land(extracts[s.name], s), s) for s in BILL_SPECS if s.name in extracts
+    )
 
 
 def union_bills(extracts: dict[str, DataFrame]) -> DataFrame:

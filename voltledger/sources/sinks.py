@@ -21,14 +21,19 @@ def overwrite_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
-def write_by_year(df: DataFrame, path: str, year: str = "year_charge") -> None:
-    """One table partitioned by year, so a yearly reader opens one folder.
+def write_by(df: DataFrame, path: str, column: str) -> None:
+    """One table partitioned by a column of few values.
 
     The rebalance hint gives files of the advisory size: adaptive execution
-    splits a year that holds much of the data over many tasks and merges small
-    ones, where a plain repartition by year would write each year in one task.
+    splits a value that holds much of the data over many tasks and merges small
+    ones, where a plain repartition by the column would write each in one task.
     """
-    df.hint("rebalance", year).write.mode("overwrite").partitionBy(year).parquet(path)
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def write_by_year(df: DataFrame, path: str, year: str = "year_charge") -> None:
+    """Yearly table: a reader of one year opens one folder."""
+    write_by(df, path, year)
 
 
 def write_report(df: DataFrame, path: str, sep: str = ",") -> None:
