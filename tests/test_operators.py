@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from voltledger import schemas
+from voltledger.functions import scaled, scaled_sum
 from voltledger.operators import (
     attach_area,
     bands,
@@ -98,10 +99,11 @@ def test_compare_rates(spark):
     assert set(out) == {"ev", "ui", "no rate", "no month"}
     assert out["ev"].standard_rate == D("0.081234")
     assert out["ev"].rate_difference == D("0.038766")
-    assert out["ev"].overpayment == D("3.8766")
+    assert out["ev"].overpayment == D("3.8766") and out["ev"].overpayment_e7 == 38766000
     assert out["ui"].overpayment == 0
     assert out["ev"].year_half == 2
-    assert out["no rate"].overpayment is None and out["no month"].overpayment is None
+    for name in ("no rate", "no month"):
+        assert out[name].overpayment is None and out[name].overpayment_e7 is None
 
 
 def test_standard_rates_unpivot(spark):
@@ -117,9 +119,10 @@ def test_standard_rates_unpivot(spark):
 
 
 def compared(spark, data):
-    return spark.createDataFrame(
+    df = spark.createDataFrame(
         data, "k string, overpayment decimal(18,7), num_customers int, totalkwh decimal(10,1)"
     )
+    return df.withColumn("overpayment_e7", (F.col("overpayment") * 10000000).cast("bigint"))
 
 
 def test_split_edges(spark):
@@ -190,6 +193,29 @@ def test_premium_and_per_unit(spark):
     ]
 
 
+def test_scaled_amounts_equal_decimals(spark):
+    rng = random.Random(11)
+    data = [
+        (
+            D(rng.randint(-999999, 999999)).scaleb(-5),
+            D(rng.randint(-9_999_999_999, 9_999_999_999)).scaleb(-1),
+        )
+        for _ in range(3000)
+    ]
+    df = spark.createDataFrame(data, "r decimal(6,5), k decimal(10,1)")
+    units = scaled("r", 6) * scaled("k", 1)
+    exact = (F.col("r") * F.col("k")).cast("decimal(38,7)")
+    row = df.select(units.alias("u"), exact.alias("x")).agg(
+        scaled_sum("u", 7).alias("a"),
+        F.sum("x").alias("b"),
+        scaled_sum("u", 7, F.col("u") < 0).alias("c"),
+        F.sum(F.when(F.col("x") < 0, F.col("x"))).alias("d"),
+    ).first()
+    assert row.a == row.b == sum(r * k for r, k in data) and row.c == row.d
+    empty = df.filter("false").agg(scaled_sum(scaled("k", 1), 1).alias("s")).first()
+    assert empty.s is None
+
+
 def test_weighted_avg_and_merge_full(spark):
     a = spark.createDataFrame([("1", 10), ("2", 20), (None, 5)], "k string, a int")
     b = spark.createDataFrame([("2", 7), ("3", 8), (None, 6)], "k string, b int")

@@ -4,6 +4,8 @@ from voltledger.functions.semantics import (
     int_or_null,
     keep_unless,
     ratio,
+    scaled,
+    scaled_sum,
     strict_sum,
     whole,
 )
@@ -29,6 +31,8 @@ __all__ = [
     "month_number",
     "percent",
     "ratio",
+    "scaled",
+    "scaled_sum",
     "strict_sum",
     "thousands",
     "whole",

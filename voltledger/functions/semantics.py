@@ -30,6 +30,44 @@ def strict_sum(value: Column | str, where: Column | None = None) -> Column:
     return F.when(F.count(value) == rows, F.sum(value))
 
 
+# Whole and rest of a scaled integer are summed apart at this many units.
+_CHUNK = 10_000_000
+
+
+def scaled(value: Column | str, digits: int) -> Column:
+    """Decimal of at most 15 digits as a whole number of ``10**-digits``.
+
+    Such a decimal is exact in a double up to rounding, so no object is made per
+    row, as decimal arithmetic would.
+    """
+    return F.rint(_col(value).cast("double") * float(10**digits)).cast("bigint")
+
+
+def scaled_sum(
+    units: Column | str, digits: int, where: Column | None = None, strict: bool = False
+) -> Column:
+    """Exact decimal sum of scaled integers, in long arithmetic.
+
+    Chunks and remainders are summed apart, which leaves room for about 10**11
+    dollars a row and 10**11 rows a group; beyond it the sum fails, it never wraps.
+    Decimal sums give the same value at twice the time for the whole query.
+    With ``strict`` a NULL among the rows makes the sum NULL.
+    """
+    units = _col(units)
+    value = units if where is None else F.when(where, units)
+    chunks = F.sum(F.call_function("div", value, F.lit(_CHUNK).cast("bigint")))
+    rest = F.sum(value % F.lit(_CHUNK).cast("bigint"))
+    whole_units = chunks.cast("decimal(19,0)") * F.lit(_CHUNK).cast("decimal(8,0)")
+    unit = F.lit("1" if digits == 0 else "0." + "0" * (digits - 1) + "1").cast(
+        f"decimal({max(digits, 1)},{digits})"
+    )
+    total = ((whole_units + rest.cast("decimal(19,0)")) * unit).cast(f"decimal(38,{digits})")
+    if not strict:
+        return total
+    rows = F.count(F.lit(1)) if where is None else F.count(F.when(where, F.lit(1)))
+    return F.when(F.count(value) == rows, total)
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """``num / den`` as a double; NULL for a zero or missing denominator."""
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))

@@ -25,7 +25,7 @@ from voltledger.operators.conform import (
 )
 from voltledger.operators.geo import attach_area, by_membership, keep_in, rollup_geo
 from voltledger.operators.merge import merge_full
-from voltledger.operators.overpay import per_unit_split, premium, split
+from voltledger.operators.overpay import kwh, net, per_unit_split, premium, split
 from voltledger.operators.rates import compare_rates, standard_rates, weighted_avg
 from voltledger.operators.reports import control_totals, report, top_bottom, with_total
 
@@ -49,8 +49,10 @@ __all__ = [
     "drop_where",
     "exceed_counts",
     "keep_in",
+    "kwh",
     "land",
     "merge_full",
+    "net",
     "normalise",
     "per_unit_split",
     "pivot_mean",

@@ -7,32 +7,46 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions import ratio, strict_sum, whole
+from voltledger.functions import ratio, scaled, scaled_sum, strict_sum, whole
+
+
+# Aggregates over a rate comparison.
+
+
+def net(where: Column | None = None, strict: bool = False) -> Column:
+    """Exact overpayment of the rows in dollars."""
+    return scaled_sum("overpayment_e7", 7, where, strict)
+
+
+def kwh(where: Column | None = None, strict: bool = False) -> Column:
+    """Exact kWh of the rows."""
+    return scaled_sum(scaled("totalkwh", 1), 1, where, strict)
 
 
 def split(
     df: DataFrame,
     keys: Sequence[str],
-    value: str = "overpayment",
+    value: str = "overpayment_e7",
     weight: str = "num_customers",
+    digits: int = 7,
     extras: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Gross over, gross under and net amounts with their customers, by keys.
 
-    Three conditional aggregates share one scan and one shuffle of partial sums.
-    A row whose value is NULL is on neither side but makes the net NULL.  A group
-    without any overpaying row is left out; one without an underpaying row has
-    NULL in the under columns.
+    ``value`` holds whole numbers of ``10**-digits``.  Three conditional aggregates
+    share one scan and one shuffle of partial sums.  A row whose value is NULL is
+    on neither side but makes the net NULL.  A group without any overpaying row is
+    left out; one without an underpaying row has NULL in the under columns.
     """
     v = F.col(value)
     over, under = v > 0, v <= 0
     out = df.groupBy(*keys).agg(
         F.count_if(over).alias("_over_rows"),
-        whole(F.sum(F.when(over, v))).alias("gross_overpayment"),
+        whole(scaled_sum(v, digits, over)).alias("gross_overpayment"),
         strict_sum(weight, over).alias("customers_paying_more"),
-        whole(F.sum(F.when(under, v))).alias("gross_underpayment"),
+        whole(scaled_sum(v, digits, under)).alias("gross_underpayment"),
         strict_sum(weight, under).alias("customers_paying_less"),
-        whole(strict_sum(v)).alias("net_overpayment"),
+        whole(scaled_sum(v, digits, strict=True)).alias("net_overpayment"),
         strict_sum(weight).alias("customers_affected"),
         *[c.alias(n) for n, c in (extras or {}).items()],
     )
@@ -42,10 +56,10 @@ def split(
 def premium(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Net amount, bills, kWh and premium per kWh by keys."""
     return df.groupBy(*keys).agg(
-        whole(strict_sum("overpayment")).alias("net_overpayment"),
+        whole(net(strict=True)).alias("net_overpayment"),
         strict_sum("num_customers").alias("bills_rendered"),
-        strict_sum("totalkwh").alias("total_kwh"),
-        ratio(strict_sum("overpayment"), strict_sum("totalkwh")).alias("avg_premium"),
+        kwh(strict=True).alias("total_kwh"),
+        ratio(net(strict=True), kwh(strict=True)).alias("avg_premium"),
     )
 
 
@@ -54,14 +68,14 @@ def per_unit_split(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Groups without an underpaying row are left out.
     """
-    v = F.col("overpayment")
+    v = F.col("overpayment_e7")
     aggs: list[Column] = [F.count_if(v <= 0).alias("_under_rows")]
     for side, label, cond in (("less", "under", v <= 0), ("more", "over", v > 0)):
-        amount = F.sum(F.when(cond, v))
+        customers = strict_sum("num_customers", cond)
         aggs += [
-            strict_sum("num_customers", cond).alias(f"customers_paying_{side}"),
-            ratio(amount, strict_sum("totalkwh", cond)).alias(f"avg_per_kwh_{label}"),
-            ratio(amount, strict_sum("num_customers", cond)).alias(f"avg_per_bill_{label}"),
+            customers.alias(f"customers_paying_{side}"),
+            ratio(net(cond), kwh(cond, strict=True)).alias(f"avg_per_kwh_{label}"),
+            ratio(net(cond), customers).alias(f"avg_per_bill_{label}"),
         ]
     out = df.groupBy(*keys).agg(*aggs)
     return out.filter(F.col("_under_rows") > 0).drop("_under_rows")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions import half_year, ratio, year_month
+from voltledger.functions import half_year, ratio, scaled, year_month
 
 # Utility code of each rate column of the monthly sheet.
 SHEET_COLUMNS = {"EV": "eversource_rate", "UI": "ui_rate"}
@@ -51,20 +51,23 @@ def compare_rates(bills: DataFrame, sheet: DataFrame) -> DataFrame:
     broadcast threshold and the bills are not shuffled; a sheet beyond the
     threshold is joined by a shuffle whose hot months adaptive execution splits.
 
-    Amounts stay exact decimals, so sums do not depend on the order of the rows
-    or on retried tasks.
+    Amounts are exact, so sums do not depend on the order of the rows or on retried
+    tasks.  ``overpayment_e7`` is the overpayment in 10**-7 dollars, the form that
+    aggregates read: whole numbers are multiplied and added without decimal objects.
     """
     known = bills.filter(F.col("edc").isin(*SHEET_COLUMNS)).select(
         *COMPARED, year_month("year_charge", "month_charge").alias("year_month")
     )
     joined = known.join(standard_rates(sheet), ["year_month", "edc"], "left")
     difference = F.col("billed_rate") - F.col("standard_rate")
+    difference_e6 = scaled("billed_rate", 6) - scaled("standard_rate", 6)
     return joined.select(
         *COMPARED,
         "standard_rate",
         difference.alias("rate_difference"),
         (difference * F.col("totalkwh")).cast("decimal(18,7)").alias("overpayment"),
         half_year("month_charge").alias("year_half"),
+        (difference_e6 * scaled("totalkwh", 1)).alias("overpayment_e7"),
     )
 
 

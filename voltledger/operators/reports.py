@@ -40,7 +40,7 @@ def with_total(
 
 
 # Buckets of the first round of ``top_bottom``.
-_BUCKETS = 64
+_BUCKETS = 256
 
 
 def top_bottom(df: DataFrame, by: str, n_low: int, n_high: int, tie: str) -> DataFrame:

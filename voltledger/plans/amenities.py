@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions import money, percent, ratio, thousands
-from voltledger.operators import with_total
+from voltledger.operators import net, with_total
 from voltledger.plans.inputs import Inputs
 
 _SUMMED = ("value_redeemed", "total_bills", "total_overpayment")
@@ -22,7 +22,7 @@ def amenities_all(t: Inputs) -> DataFrame:
 
 def _bills(t: Inputs, key: str) -> DataFrame:
     return t.comparison.groupBy(key).agg(
-        F.sum("num_customers").alias("total_bills"), F.sum("overpayment").alias("total_overpayment")
+        F.sum("num_customers").alias("total_bills"), net().alias("total_overpayment")
     )
 
 

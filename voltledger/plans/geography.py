@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions import ratio, strict_sum, whole
-from voltledger.operators import attach_area, by_membership, rollup_geo, top_bottom
+from voltledger.operators import attach_area, by_membership, kwh, net, rollup_geo, top_bottom
 from voltledger.plans.inputs import Inputs
 from voltledger.plans.overpayment import overpayment_by_zip, overpayment_by_zip_year
 from voltledger.plans.participation import participation_by_year_zcta
@@ -76,7 +76,7 @@ def minority_flags(t: Inputs) -> DataFrame:
 
 def _per_kwh(t: Inputs, years: DataFrame) -> DataFrame:
     by_zip = years.groupBy("year_charge", "zipcode").agg(
-        F.sum("totalkwh").alias("totalkwh"), F.sum("overpayment").alias("net_overpayment")
+        kwh().alias("totalkwh"), net().alias("net_overpayment")
     )
     areas = attach_area(by_zip, t.crosswalk).groupBy("year_charge", "zcta").agg(
         whole(strict_sum("totalkwh")).alias("totalkwh"),
@@ -95,7 +95,7 @@ def overpayment_per_kwh_zcta_year(t: Inputs) -> DataFrame:
 def save_overpay_by_zcta(t: Inputs, year: str = REPORT_YEAR) -> DataFrame:
     """Savers and overpayers side by side per area, bills with customers and kWh
     only.  An area on one side only keeps NULL on the other."""
-    v = F.col("overpayment")
+    v = F.col("overpayment_e7")
     used = t.comparison.filter(
         (F.col("year_charge") == year)
         & (F.col("num_customers") > 0)
@@ -103,11 +103,11 @@ def save_overpay_by_zcta(t: Inputs, year: str = REPORT_YEAR) -> DataFrame:
         & v.isNotNull()
     )
     sides = {"saving": v <= 0, "overpay": v > 0}
-    cells = {
-        f"{name}_{side}": F.sum(F.when(cond, F.col(c)))
-        for side, cond in sides.items()
-        for name, c in (("bills", "num_customers"), ("kwh", "totalkwh"), ("amount", "overpayment"))
-    }
+    cells = {}
+    for side, cond in sides.items():
+        cells[f"bills_{side}"] = F.sum(F.when(cond, F.col("num_customers")))
+        cells[f"kwh_{side}"] = kwh(cond)
+        cells[f"amount_{side}"] = net(cond)
     by_zip = used.groupBy("zipcode").agg(*[c.alias(n) for n, c in cells.items()])
     # Plain equality here: a bill without a postal code belongs to no area.
     areas = t.crosswalk.select(F.col("zipcode"), "zcta")
@@ -274,7 +274,7 @@ def public_extract(t: Inputs) -> DataFrame:
     """
     keys = ["year_charge", "zipcode", "supplier", "edc"]
     small = t.comparison.groupBy(*keys).agg(
-        F.sum("num_customers").alias("total_customers"), F.sum("overpayment").alias("net_overpayment")
+        F.sum("num_customers").alias("total_customers"), net().alias("net_overpayment")
     )
     area = t.crosswalk.select("zipcode", "zcta", F.col("po_name").alias("municipality"))
     return (

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions import ratio, strict_sum
-from voltledger.operators import exceed_counts, per_unit_split, pivot_mean, premium, split
+from voltledger.functions import ratio
+from voltledger.operators import (
+    exceed_counts,
+    kwh,
+    net,
+    per_unit_split,
+    pivot_mean,
+    premium,
+    split,
+)
 from voltledger.plans.inputs import Inputs
 
 # Premiums per kWh reported, and the contract bands in months.
@@ -20,7 +28,8 @@ SHORTEST_TERM, LONGEST_TERM = 12, 36
 
 
 def rate_comparison(t: Inputs) -> DataFrame:
-    return t.comparison
+    """Compared bills; the scaled amount the aggregates use is not shown."""
+    return t.comparison.drop("overpayment_e7")
 
 
 def overpayment_by_year(t: Inputs) -> DataFrame:
@@ -28,8 +37,8 @@ def overpayment_by_year(t: Inputs) -> DataFrame:
         t.comparison,
         ["year_charge"],
         extras={
-            "total_kwh": strict_sum("totalkwh"),
-            "overpayment_per_kwh": ratio(strict_sum("overpayment"), strict_sum("totalkwh")),
+            "total_kwh": kwh(strict=True),
+            "overpayment_per_kwh": ratio(net(strict=True), kwh(strict=True)),
         },
     )
 
@@ -80,7 +89,7 @@ def contract_term_pivot(t: Inputs) -> DataFrame:
     nets = (
         t.comparison.filter((term >= SHORTEST_TERM) & (term <= LONGEST_TERM))
         .groupBy("edc", "month_commencement", "contractterm")
-        .agg(F.sum("overpayment").cast("double").alias("net"))
+        .agg(net().cast("double").alias("net"))
     )
     keyed = nets.withColumn("row", F.struct("edc", "month_commencement"))
     out = pivot_mean(keyed, "row", "contractterm", terms, "net")
@@ -101,7 +110,7 @@ def contract_term_bands(t: Inputs) -> DataFrame:
     return (
         t.comparison.groupBy("edc", band.alias("band"))
         .agg(
-            F.sum("overpayment").alias("net_overpayment"),
+            net().alias("net_overpayment"),
             F.sum("num_customers").alias("customers"),
         )
     )
