@@ -1,4 +1,5 @@
 from voltledger.plans.inputs import Inputs
 from voltledger.plans.products import PRODUCTS
+from voltledger.plans.publish import ordered, publish, store_layers
 
-__all__ = ["PRODUCTS", "Inputs"]
+__all__ = ["PRODUCTS", "Inputs", "ordered", "publish", "store_layers"]

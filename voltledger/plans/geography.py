@@ -162,7 +162,6 @@ def high_participation_75(t: Inputs, year: str = REPORT_YEAR, above: float = 0.7
         .join(t.income.select("zcta", "median_hh_income", "count_households"), "zcta")
         .select("zcta", "po_name", "median_hh_income", "count_households", "participation_rate")
         .distinct()
-        .orderBy(F.col("participation_rate").desc_nulls_first(), "zcta", "po_name")
     )
 
 
@@ -187,7 +186,6 @@ def high_participation_20(t: Inputs, year: str = REPORT_YEAR, above: float = 0.2
             "pct_low_english",
         )
         .distinct()
-        .orderBy(F.col("participation_rate").desc_nulls_first(), "zcta", "po_name")
     )
 
 
@@ -300,7 +298,7 @@ def census_extract(t: Inputs) -> DataFrame:
 
 
 def revenue_origin_by_income(t: Inputs, year: str = REPORT_YEAR) -> DataFrame:
-    """Gross overpayment and participation of one year by area, poorest first."""
+    """Gross overpayment and participation of one year by area and income."""
     bills = split_year(t, year).select("zcta", "gross_overpayment")
     rates = (
         participation_by_year_zcta(t)
@@ -311,7 +309,6 @@ def revenue_origin_by_income(t: Inputs, year: str = REPORT_YEAR) -> DataFrame:
         t.income.select("zcta", "geographic_name", "median_hh_income")
         .join(bills, "zcta")
         .join(rates, "zcta")
-        .orderBy(F.col("median_hh_income").asc_nulls_last(), "zcta")
     )
 
 
