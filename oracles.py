@@ -484,14 +484,18 @@ _PREMIUM = f"""supplier, year_charge, {_whole(_strict('overpayment'))} AS net_ov
 
 _TERMS = range(12, 37)
 
+
+def _audit(table: str) -> str:
+    return f"""SELECT supplier, count(*) AS rec_count, {_dbl('sum(billed_rate)')} AS sum_billed_rate,
+        {_int('sum(num_customers)')} AS sum_num_customers,
+        {_dbl('sum(totalkwh)')} AS sum_totalkwh, {_int('sum(contractterm)')} AS sum_contractterm
+        FROM {table} GROUP BY supplier"""
+
+
 QUERIES = {
     "conform_bills": f"SELECT {_BILL} FROM bills",
-    "load_control_totals": f"""
-        SELECT supplier, count(*) AS rec_count, {_dbl('sum(billed_rate)')} AS sum_billed_rate,
-               {_int('sum(num_customers)')} AS sum_num_customers,
-               {_dbl('sum(totalkwh)')} AS sum_totalkwh,
-               {_int('sum(contractterm)')} AS sum_contractterm
-        FROM q6 GROUP BY supplier""",
+    "load_control_totals": _audit("bills"),
+    "union_control_totals": _audit("q6"),
     "q6_all": f"SELECT {_BILL} FROM q6",
     "q9_all": f"""
         SELECT supplier, year_charge, num_customers, specific_commitment,
@@ -564,6 +568,11 @@ QUERIES = {
         FROM by_zcta z LEFT JOIN income i ON z.zcta = i.zcta""",
     "participation_data": "SELECT * FROM counts",
     "participation_by_zip_year": "SELECT * FROM zip_counts",
+    "utility_totals": f"""
+        SELECT edc, {_int('sum(num_custs_supplier)')} AS supplier_customers,
+               {_int('sum(num_custs_edc)')} AS edc_customers,
+               {_int('sum(tot_custs)')} AS total_customers
+        FROM counts WHERE year = '2021' GROUP BY edc""",
     "participation_by_year_zcta": "SELECT * FROM part_rate",
     "participation_by_year": f"SELECT * FROM part_rate WHERE year IN {_STUDY}",
     "participation_by_income_band": _BANDS,

@@ -454,7 +454,7 @@ def raw_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order counts by postal code and year as two utilities' answers."""
+    """Order counts by postal code, year and utility, as one sheet of answers."""
     orders = table(spark, sf_dir, "orders").select(
         F.concat(
             F.lit("06"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0")
@@ -470,14 +470,13 @@ def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("tot_custs"),
     )
 
-    def answer(utility: str, side: Column) -> DataFrame:
-        headings = PARTICIPATION_COLUMNS[utility]
-        sheet = counts.filter(side).select(
-            *[F.col(c).cast("string").alias(h) for c, h in headings.items()]
-        )
-        return participation_counts(sheet, utility)
-
-    return answer("Eversource", F.col("ev")).unionByName(answer("UI", ~F.col("ev")))
+    headings = PARTICIPATION_COLUMNS["Eversource"]
+    sheet = counts.select(
+        *[F.col(c).cast("string").alias(h) for c, h in headings.items()], "ev"
+    )
+    return participation_counts(
+        sheet, F.when(F.col("ev"), "Eversource").otherwise("UI"), headings
+    )
 
 
 def landed_amenities(spark: SparkSession, sf_dir: str) -> DataFrame:

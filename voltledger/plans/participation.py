@@ -169,6 +169,12 @@ def participation_by_utility_year(t: Inputs) -> DataFrame:
     return sides.filter(both).select("year", "eversource_part_rate", "ui_part_rate")
 
 
+def utility_totals(t: Inputs, year: str = "2021") -> DataFrame:
+    """One year's counts per utility, as a check of the loaded answers."""
+    rows = t.participation.filter(F.col("year") == year)
+    return rows.groupBy("edc").agg(*[F.sum(src).alias(out) for out, src in COUNTS.items()])
+
+
 def supplier_customers_by_year(t: Inputs) -> DataFrame:
     """Supplier customers by year, counted by the utilities and estimated from
     monthly bills, each with the average over its years."""

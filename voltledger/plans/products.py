@@ -13,6 +13,7 @@ PRODUCTS: dict[str, Callable[[Inputs], DataFrame]] = {
     f.__name__: f
     for f in (
         usage.load_control_totals,
+        usage.union_control_totals,
         usage.q6_all,
         usage.q9_all,
         usage.q9_control_totals,
@@ -38,6 +39,7 @@ PRODUCTS: dict[str, Callable[[Inputs], DataFrame]] = {
         geography.overpayment_income_by_zcta,
         participation.participation_data,
         participation.participation_by_zip_year,
+        participation.utility_totals,
         participation.participation_by_year_zcta,
         participation.participation_by_year,
         participation.participation_by_income_band,

@@ -15,6 +15,7 @@ from voltledger.sources import write_by_year, write_report
 # Row order of the reports that have one; a minus sign is descending.
 REPORT_ORDER = {
     "load_control_totals": ("supplier",),
+    "union_control_totals": ("supplier",),
     "q9_control_totals": ("year_charge",),
     "wtd_avg_rates": ("year",),
     "usage_green_nongreen": ("year",),

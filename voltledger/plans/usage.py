@@ -16,6 +16,11 @@ def q6_all(t: Inputs) -> DataFrame:
 
 
 def load_control_totals(t: Inputs) -> DataFrame:
+    """Count and sums per supplier of the bills as loaded."""
+    return bill_audit(t.bills)
+
+
+def union_control_totals(t: Inputs) -> DataFrame:
     """Count and sums per supplier of the cleansed bills."""
     return bill_audit(t.cleaned)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import schemas
@@ -48,16 +48,25 @@ def rate_sheet(raw: DataFrame) -> DataFrame:
     )
 
 
-def participation_counts(raw: DataFrame, utility: str, columns: Mapping[str, str] | None = None) -> DataFrame:
-    """One utility's customer counts, missing values as 0, tagged with its name."""
-    columns = columns or PARTICIPATION_COLUMNS[utility]
-    named = raw.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
+def participation_counts(
+    raw: DataFrame, utility: str | Column, columns: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Customer counts with missing values as 0, tagged with the utility.
+
+    ``utility`` is a name, whose answer's headings are known, or a column of a
+    sheet holding several utilities, with ``columns`` giving its headings.
+    """
+    if isinstance(utility, str):
+        columns, utility = columns or PARTICIPATION_COLUMNS[utility], F.lit(utility)
+    named = raw.select(
+        *[F.col(f"`{src}`").cast("string").alias(dst) for dst, src in columns.items()],
+        utility.alias("edc"),
+    )
     counts = ("num_custs_supplier", "num_custs_edc", "tot_custs")
     filled = named.withColumns(
         {
-            **{k: F.coalesce(F.rtrim(F.col(k).cast("string")), F.lit("0")) for k in ("zip", "year")},
-            **{c: F.coalesce(int_or_null(F.col(c).cast("string")), F.lit(0)) for c in counts},
-            "edc": F.lit(utility),
+            **{k: F.coalesce(F.rtrim(k), F.lit("0")) for k in ("zip", "year")},
+            **{c: F.coalesce(int_or_null(c), F.lit(0)) for c in counts},
         }
     )
     return filled.select(
