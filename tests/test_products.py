@@ -1,7 +1,9 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
 import math
+import random
 import re
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -10,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 import oracles
 import standins
+from voltledger import schemas
 from voltledger.plans import PRODUCTS, publish
 
 
@@ -161,3 +164,41 @@ def test_invariants(spark, tables):
     total = PRODUCTS["rate_comparison"](tables).selectExpr("sum(overpayment) o", "sum(num_customers) n").first()
     assert sum(b.net_overpayment for b in bands) == total.o
     assert sum(b.customers for b in bands) == total.n
+
+
+def test_a_third_of_all_bills_under_one_key(spark, tables):
+    """Hot postal code, supplier and month against brute force."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        hot = i % 3 == 0
+        rows.append(
+            (
+                "Hot" if hot else f"S{rng.randint(0, 20)}",
+                "2021",
+                "05" if hot else f"{rng.randint(1, 10):02d}",
+                Decimal(rng.randint(0, 30000)).scaleb(-5),
+                "06001" if hot else f"06{rng.randint(0, 999):03d}",
+                rng.randint(1, 5),
+                Decimal(rng.randint(0, 90000)).scaleb(-1),
+                None, None, None, 0, 0, 0,
+                rng.choice(["EV", "UI"]),
+            )
+        )
+    t = tables.replaced(bills=spark.createDataFrame(rows, schemas.BILLS))
+    rates = {
+        r.date_concat: {"EV": r.eversource_rate / 100, "UI": r.ui_rate / 100}
+        for r in t.rate_sheet.collect()
+    }
+    want = {}
+    for r in rows:
+        amount = (r[3] - rates[r[1] + r[2]][r[13]]) * r[6]
+        cell = want.setdefault((r[0], r[4]), [Decimal(0), 0])
+        cell[0] += amount
+        cell[1] += r[5]
+    got = {}
+    for r in PRODUCTS["public_extract"](t).collect():
+        cell = got.setdefault((r.supplier, r.zipcode), [Decimal(0), 0])
+        cell[0] += r.net_overpayment
+        cell[1] += r.total_customers
+    assert got == want

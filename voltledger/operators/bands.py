@@ -25,7 +25,9 @@ def band_label(number: Column, labels: Sequence[str]) -> Column:
     return out
 
 
-def _rows_of(df: DataFrame, keys: Sequence[str], label: str, rows: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+def _rows_of(
+    df: DataFrame, keys: Sequence[str], label: str, rows: Mapping[str, Mapping[str, Column]]
+) -> DataFrame:
     """One wide aggregated row per key -> one row per (key, label)."""
     structs = [
         F.struct(F.lit(name).alias(label), *[c.alias(n) for n, c in cols.items()])
@@ -35,16 +37,22 @@ def _rows_of(df: DataFrame, keys: Sequence[str], label: str, rows: Mapping[str,
 
 
 def exceed_counts(
-    df: DataFrame, column: str, thresholds: Mapping[str, float | str], weight: str, label: str, total: str
+    df: DataFrame,
+    column: str,
+    thresholds: Mapping[str, float | str],
+    weight: str,
+    label: str,
+    total: str,
 ) -> DataFrame:
     """Sum of ``weight`` over the rows above each threshold.
 
     A row counts under every threshold it exceeds.  All thresholds are summed in
     one pass, then laid out as rows.
     """
+    limits = [F.lit(str(t)).cast("decimal(18,6)") for t in thresholds.values()]
     sums = [
-        F.sum(F.when(F.col(column) > F.lit(str(t)).cast("decimal(18,6)"), F.col(weight))).alias(f"_t{i}")
-        for i, t in enumerate(thresholds.values())
+        F.sum(F.when(F.col(column) > limit, F.col(weight))).alias(f"_t{i}")
+        for i, limit in enumerate(limits)
     ]
     wide = df.agg(*sums)
     rows = {name: {total: F.col(f"_t{i}")} for i, name in enumerate(thresholds)}
@@ -73,7 +81,9 @@ def below_above(
     return _rows_of(wide, keys, label, rows)
 
 
-def pivot_mean(df: DataFrame, row: str, column: str, values: Sequence[object], measure: str) -> DataFrame:
+def pivot_mean(
+    df: DataFrame, row: str, column: str, values: Sequence[object], measure: str
+) -> DataFrame:
     """Mean of ``measure`` by row and a stated list of column values.
 
     The list is required: without it Spark would run a job to collect the values.

@@ -96,7 +96,9 @@ class AmenitySpec:
     stored: bool = True
 
 
-def land(extract: DataFrame, spec: BillSpec | AmenitySpec, raw: Sequence[str] | None = None) -> DataFrame:
+def land(
+    extract: DataFrame, spec: BillSpec | AmenitySpec, raw: Sequence[str] | None = None
+) -> DataFrame:
     """Shared raw text columns of one extract, tagged with its name."""
     raw = raw or (BILL_RAW if isinstance(spec, BillSpec) else AMENITY_RAW)
     known = {c.strip().lower(): c for c in extract.columns}
@@ -167,12 +169,8 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
     Projections in steps, each reading finished columns of the one before, so that
     no rule is evaluated, or compiled, more than once.
     """
-    trimmed = landed.selectExpr(
-        *[
-            f"trim({n}) AS {n}" if n not in spec.constants else f"{_literal(spec.constants[n])} AS {n}"
-            for n in BILL_RAW
-        ]
-    )
+    fixed = {n: _literal(text) for n, text in spec.constants.items()}
+    trimmed = landed.selectExpr(*[f"{fixed.get(n, f'trim({n})')} AS {n}" for n in BILL_RAW])
 
     def unmarked(name: str) -> Column:
         """The cell with blank marks replaced by what they stand for."""
@@ -273,8 +271,10 @@ def conform_amenities(
         *[f"{e} AS {n}" for n, e in amounts.items()],
     )
     typed = {n: n for n in ("supplier", "year", "amenity")}
-    typed |= {n: f"try_cast({n} AS {schemas.AMENITIES[n].dataType.simpleString()})" for n in amounts}
-    return _checked(first, typed, {n: n for n in amounts}, schemas.AMENITIES, schemas.AMENITY_WIDTHS)
+    for n in amounts:
+        typed[n] = f"try_cast({n} AS {schemas.AMENITIES[n].dataType.simpleString()})"
+    texts = {n: n for n in amounts}
+    return _checked(first, typed, texts, schemas.AMENITIES, schemas.AMENITY_WIDTHS)
 
 
 def _checked(

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from voltledger.functions import strict_sum
 
 
-def attach_area(df: DataFrame, crosswalk: DataFrame, zipcode: str = "zipcode", columns: Sequence[str] = ("zcta",)) -> DataFrame:
+def attach_area(
+    df: DataFrame,
+    crosswalk: DataFrame,
+    zipcode: str = "zipcode",
+    columns: Sequence[str] = ("zcta",),
+) -> DataFrame:
     """Left join of the crosswalk in which a missing code matches a missing code.
 
     ``df`` should be aggregated by postal code already, so that only one row per

@@ -71,7 +71,9 @@ def compare_rates(bills: DataFrame, sheet: DataFrame) -> DataFrame:
     )
 
 
-def weighted_avg(df: DataFrame, keys: Sequence[str], rate: str, weights: dict[str, str]) -> DataFrame:
+def weighted_avg(
+    df: DataFrame, keys: Sequence[str], rate: str, weights: dict[str, str]
+) -> DataFrame:
     """Average of ``rate`` under several weights at once.
 
     ``weights`` maps each output column to its weight column.

@@ -212,7 +212,9 @@ def overpayment_by_demographics(t: Inputs) -> DataFrame:
     )
 
 
-def _extremes_per_kwh(t: Inputs, dim: DataFrame, by: str, year: str, n_low: int, n_high: int) -> DataFrame:
+def _extremes_per_kwh(
+    t: Inputs, dim: DataFrame, by: str, year: str, n_low: int, n_high: int
+) -> DataFrame:
     areas = _per_kwh(t, t.comparison.filter(F.col("year_charge") == year))
     joined = dim.select("zcta", by).join(
         areas.select(
@@ -223,15 +225,21 @@ def _extremes_per_kwh(t: Inputs, dim: DataFrame, by: str, year: str, n_low: int,
     return top_bottom(joined, by, n_low, n_high, tie="zcta")
 
 
-def topbottom_minority(t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10) -> DataFrame:
+def topbottom_minority(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10
+) -> DataFrame:
     return _extremes_per_kwh(t, t.minority, "pct_minority", year, n_low, n_high)
 
 
-def topbottom_income(t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10) -> DataFrame:
+def topbottom_income(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10
+) -> DataFrame:
     return _extremes_per_kwh(t, t.income, "median_hh_income", year, n_low, n_high)
 
 
-def topbottom_english(t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10) -> DataFrame:
+def topbottom_english(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10
+) -> DataFrame:
     return _extremes_per_kwh(t, t.english, "pct_low_english", year, n_low, n_high)
 
 
@@ -245,22 +253,30 @@ _SAVE_COLUMNS: Sequence[str] = (
 )
 
 
-def _extremes_save(t: Inputs, dim: DataFrame, by: str, year: str, n_low: int, n_high: int) -> DataFrame:
+def _extremes_save(
+    t: Inputs, dim: DataFrame, by: str, year: str, n_low: int, n_high: int
+) -> DataFrame:
     joined = dim.select("zcta", by).join(
         save_overpay_by_zcta(t, year).select("zcta", *_SAVE_COLUMNS), "zcta"
     )
     return top_bottom(joined, by, n_low, n_high, tie="zcta")
 
 
-def save_topbottom_minority(t: Inputs, year: str = REPORT_YEAR, n_low: int = 15, n_high: int = 10) -> DataFrame:
+def save_topbottom_minority(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 15, n_high: int = 10
+) -> DataFrame:
     return _extremes_save(t, t.minority, "pct_minority", year, n_low, n_high)
 
 
-def save_topbottom_income(t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10) -> DataFrame:
+def save_topbottom_income(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 10, n_high: int = 10
+) -> DataFrame:
     return _extremes_save(t, t.income, "median_hh_income", year, n_low, n_high)
 
 
-def save_topbottom_english(t: Inputs, year: str = REPORT_YEAR, n_low: int = 15, n_high: int = 10) -> DataFrame:
+def save_topbottom_english(
+    t: Inputs, year: str = REPORT_YEAR, n_low: int = 15, n_high: int = 10
+) -> DataFrame:
     return _extremes_save(t, t.english, "pct_low_english", year, n_low, n_high)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions import ratio
-from voltledger.operators import clamp_negative, control_totals, merge_full, weighted_avg
+from voltledger.operators import clamp_negative, control_totals, kwh, merge_full, weighted_avg
 from voltledger.plans.inputs import Inputs
 from voltledger.sources import bill_audit
 
@@ -50,19 +50,12 @@ def wtd_avg_consolidated(t: Inputs) -> DataFrame:
     own; their size is bounded by years x distinct rates, not by the bills.
     """
     keys = ["year_charge", "billed_rate"]
-    kwh_all = (
-        t.cleaned.groupBy(*keys)
-        .agg(F.sum("totalkwh").alias("kwh_all"))
-        .select(*keys, F.col("year_charge").alias("all_year"), F.col("billed_rate").alias("all_rate"), "kwh_all")
-    )
-    kwh_green = (
-        t.green.groupBy(*keys)
-        .agg(F.sum("totalkwh").alias("kwh_green"))
-        .select(
-            *keys, F.col("year_charge").alias("green_year"), F.col("billed_rate").alias("green_rate"), "kwh_green"
-        )
-    )
-    merged = merge_full(kwh_all, kwh_green, keys)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        sums = df.groupBy(*keys).agg(kwh().cast("decimal(20,1)").alias(f"kwh_{name}"))
+        return sums.withColumns({f"{name}_year": F.col(keys[0]), f"{name}_rate": F.col(keys[1])})
+
+    merged = merge_full(side(t.cleaned, "all"), side(t.green, "green"), keys)
     all_kwh = F.coalesce("kwh_all", F.lit(0))
     green_kwh = F.coalesce("kwh_green", F.lit(0))
     return merged.select(
