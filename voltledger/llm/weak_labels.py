@@ -23,7 +23,7 @@ from .common import row_keys, stored
 BUCKETS = 1 << 16
 SAMPLE = 4096  # texts that the scorer is fitted on
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = ("length", "symbols", "capitals", "variety", "shouting", "function_words", "word_length", "insults")
+LABELLERS = ("length", "symbols", "capitals", "variety", "shouting", "function_words", "word_length", "runs", "insults")
 #: Everyday function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     b"the and of to a in is it that for on with as be by this are was from or an at not der die das und ist den von zu "
@@ -58,39 +58,41 @@ def votes(text: bytes) -> tuple[list[int], int]:
         return GOOD if x <= good else BAD if x >= bad else NONE
 
     return [
-        between(n, 50, 15),
+        between(n, 20, 3),
         between((len(text) - len(text.translate(None, _SYMBOLS))) / n, 0.03, 0.2),
         between(upper / max(1, letters), 0.15, 0.4),
         between(len(set(lower)) / n, 0.45, 0.25) if n >= 30 and n < 2000 else NONE,
         between(text.count(b"!!") / n, 0.01, 0.08),
-        between(sum(w in FUNCTION_WORDS for w in lower) / n, 0.12, 0.04),
+        between(sum(w in FUNCTION_WORDS for w in lower) / n, 0.12, 0.04) if n >= 20 else NONE,
         between(size / n, 9.0, 14.0) if size / n >= 3 else BAD,
+        between(sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / n, 0.03, 0.15),
         BAD if insults >= TOXIC else NONE,
     ], insults
 
 
-def estimate(patterns: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def estimate(patterns: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each pattern, accuracy of each labeller) by expectation maximisation.
 
-    patterns: votes by row. Labellers start better than chance, good texts more
-    common than bad ones; an abstention says nothing.
+    patterns: votes by row. For either true class every labeller that speaks has
+    its own chance of saying bad, so one that only knows a single kind of bad text
+    still counts when it does; an abstention says nothing. The start says that
+    good texts are more common and that bad votes are rare on them.
     """
     m = patterns.shape[1]
-    prior, right = 0.8, np.full((2, m), 0.8)  # right: by true class
+    prior, says_bad = 0.85, np.array([[0.30] * m, [0.02] * m])  # by true class: bad, good
+    bad_votes, good_votes = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     posterior = np.full(len(count), prior)
     for _ in range(rounds):
-        good = np.log(prior) + np.where(patterns == GOOD, np.log(right[1]), np.where(patterns == BAD, np.log(1 - right[1]), 0)).sum(axis=1)
-        bad = np.log(1 - prior) + np.where(patterns == BAD, np.log(right[0]), np.where(patterns == GOOD, np.log(1 - right[0]), 0)).sum(axis=1)
-        posterior = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
-        g, b = posterior * count, (1 - posterior) * count
-        prior = np.clip((g.sum() + 8) / (count.sum() + 10), 0.01, 0.99)
-        right[1] = ((patterns == GOOD).T @ g + 8) / ((patterns != NONE).T @ g + 10)
-        right[0] = ((patterns == BAD).T @ b + 8) / ((patterns != NONE).T @ b + 10)
-        right = np.clip(right, 0.5, 0.999)  # a labeller never means the opposite
-    g, b = posterior * count, (1 - posterior) * count
-    voted = (patterns != NONE).T @ count
-    accuracy = ((patterns == GOOD).T @ g + (patterns == BAD).T @ b) / np.maximum(voted, 1)
-    return posterior, accuracy
+        log = [bad_votes @ np.log(s) + good_votes @ np.log(1 - s) for s in says_bad]
+        odds = log[0] + np.log(1 - prior) - log[1] - np.log(prior)
+        posterior = 1 / (1 + np.exp(np.clip(odds, -700, 700)))
+        for c, weight in ((0, (1 - posterior) * count), (1, posterior * count)):
+            said = weight @ bad_votes + 0.5
+            says_bad[c] = np.clip(said / (said + weight @ good_votes + 5), 1e-4, 0.95)
+        says_bad[1] = np.minimum(says_bad[1], says_bad[0])  # a vote never means its opposite
+        prior = np.clip((posterior * count).sum() / count.sum(), 0.05, 0.99)
+    right = ((1 - posterior) * count) @ bad_votes + (posterior * count) @ good_votes
+    return posterior, right / np.maximum(count @ (bad_votes + good_votes), 1)
 
 
 _SHAPES = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48 if 48 <= i <= 57 else i for i in range(256))
