@@ -11,23 +11,23 @@ source's documents in an order of hashes: whole passes, then the documents that
 the rest of the target still holds. Documents are range-sorted by time.
 
 A source's running totals don't need its rows in one task: rows are dealt into
-buckets of hash ranges whose number follows the source's row count, bucket totals
+buckets of hash ranges, as many as the root of the source's row count, bucket totals
 are added up first, and within a bucket rows are added up by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_keys, stored, text_of
+from .common import WORD, fresh, row_keys, stored, text_of
 
 MOST = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)  # by source in code-point order, repeating
 SLOPES = (-0.5, 0.0, 0.5)  # early, even and late sources, repeating
-BUCKET_ROWS = 20_000
 
 
 def shares(
@@ -57,7 +57,7 @@ def _when(slope: Column, x: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, x).otherwise(curved)
 
 
-def plan(docs: DataFrame, most: float = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def plan(docs: DataFrame, most: float = MOST) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, positions, k1, k2.
 
     copies: how often the document is trained on; positions: the times, ascending.
@@ -83,7 +83,7 @@ def plan(docs: DataFrame, most: float = MOST, bucket_rows: int = BUCKET_ROWS) ->
     slope = {s: SLOPES[i % len(SLOPES)] for i, s in enumerate(order)}
     spark = docs.sparkSession
     sources = spark.createDataFrame(
-        [(r.source, r.size, target[r.source], slope[r.source], max(1, r.n // bucket_rows)) for r in totals],
+        [(r.source, r.size, target[r.source], slope[r.source], isqrt(r.n) + 1) for r in totals],
         "s string, source_size long, target double, slope double, buckets long",
     )
     mixed = F.shiftrightunsigned(F.xxhash64("k2", "k1"), 32)
@@ -139,8 +139,6 @@ def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
     Adds ``position`` (time in [0, 1]) and ``copy`` (from 0); a column of ``docs``
     with such a name keeps it, and the added one gets an underscore.
     """
-    from .common import fresh
-
     k1, k2, position, copy, nth, order = fresh(docs, "k1", "k2", "position", "copy", "nth", "row_hash")
     a, b = row_keys(docs)
     # Rows with equal keys are numbered on both sides, so that each gets the copies of one.
