@@ -88,6 +88,11 @@ def blocks(df: DataFrame, key: str, most_rows: int) -> list[DataFrame]:
     return [F.broadcast(df.where(F.pmod(F.col(key), F.lit(n)) == i)) for i in range(n)]
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A stored table marked for broadcast if it has at most ``most_rows`` rows, else itself."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

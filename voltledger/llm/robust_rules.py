@@ -21,7 +21,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, row_keys, stored, text_of
+from .common import WORD, fresh, row_keys, small, stored, text_of
 
 SHARE = 0.75  # of a group's rows that a concentration step keeps
 STEPS = 4
@@ -213,18 +213,18 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int =
     )
     params = stored(params, "mcd")
     for _ in range(steps):
-        far = _with_distance(levels.join(params, "g"), names, "d2").select("g", "d2", *names)
+        far = _with_distance(levels.join(small(params), "g"), names, "d2").select("g", "d2", *names)
         edge = stored(
             far.groupBy("g").agg(F.percentile_approx("d2", share, 1000).alias("edge")), "edges"
         )
-        inner = far.join(edge, "g").where("d2 <= edge").join(centre, "g")
+        inner = far.join(small(edge), "g").where("d2 <= edge").join(small(centre), "g")
         x = [F.col(a) - F.col(f"o_{i}") for i, a in enumerate(names)]
         sums = inner.groupBy("g").agg(
             F.count("*").alias("n"),
             *[F.avg(x[i]).alias(f"a_{i}") for i in range(p)],
             *[F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _lower(p)],
         )
-        cov = sums.join(centre, "g").select(
+        cov = sums.join(small(centre), "g").select(
             "g",
             *[F.round(F.col(f"a_{i}") + F.col(f"o_{i}"), 9).alias(f"m_{i}") for i in range(p)],
             *[
@@ -277,7 +277,7 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     )
     chosen = stored(chosen, "chosen")
     far = _with_distance(
-        rows.withColumn("own", keys[0]).join(chosen, "own", "left"), names, "distance"
+        rows.withColumn("own", keys[0]).join(small(chosen), "own", "left"), names, "distance"
     )
     return far.select(
         *table.columns,
