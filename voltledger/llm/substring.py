@@ -371,6 +371,9 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def left(text: pd.Series, span: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(text, span, strict=True):
+            if t is None or s is None:  # Spark calls it on rows that the condition spares, too
+                out.append(None)
+                continue
             words = t.split()
             gone = removed(len(words), s, window)
             out.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g))

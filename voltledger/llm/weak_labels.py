@@ -90,7 +90,7 @@ def estimate(patterns: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple
             said = weight @ bad_votes + 0.5
             says_bad[c] = np.clip(said / (said + weight @ good_votes + 5), 1e-4, 0.95)
         says_bad[1] = np.minimum(says_bad[1], says_bad[0])  # a vote never means its opposite
-        prior = np.clip((posterior * count).sum() / count.sum(), 0.05, 0.99)
+        prior = np.clip((posterior * count).sum() / max(count.sum(), 1), 0.05, 0.99)
     right = ((1 - posterior) * count) @ bad_votes + (posterior * count) @ good_votes
     return posterior, right / np.maximum(count @ (bad_votes + good_votes), 1)
 
