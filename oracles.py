@@ -623,8 +623,10 @@ QUERIES = {
     "minority_flags": f"""
         SELECT geography, geographic_area_name, {_dbl('white_alone')} AS white_alone,
                {_dbl('pct_minority')} AS pct_minority, zcta,
-               CASE WHEN pct_minority >= 0.5 THEN 1 ELSE 0 END AS majority_minority,
-               CASE WHEN pct_minority >= 0.34 THEN 1 ELSE 0 END AS above_average_minority
+               CASE WHEN pct_minority IS NULL THEN NULL WHEN pct_minority >= 0.5 THEN 1 ELSE 0 END
+                   AS majority_minority,
+               CASE WHEN pct_minority IS NULL THEN NULL WHEN pct_minority >= 0.34 THEN 1 ELSE 0 END
+                   AS above_average_minority
         FROM minority""",
     "participation_vs_minority": _share("<", "Less than ave minority")
     + " UNION ALL "

@@ -35,11 +35,15 @@ def table(columns, data):
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=repr)
 
 
+# The corpus queries, where they are there, have tests of their own.
+OWN = sorted(n for n in entry.queries() if n not in {*entry.CORPUS, "pipeline"})
+
+
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(oracles.QUERIES) == set(entry.oracle_sql())
+    assert set(OWN) == set(oracles.QUERIES) == set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_sql(spark, db, sf_dir, name):
     df = entry.queries()[name](spark, sf_dir)
     cursor = db.execute(entry.oracle_sql()[name])

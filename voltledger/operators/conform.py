@@ -70,8 +70,9 @@ class BillSpec:
     loose: tuple[str, ...] = ()
     # A blank mark as commencement stands for the month of the charge.
     blank_commencement_is_charge: bool = False
-    # What a blank mark stands for, by raw column; an empty cell stays NULL.
-    blanks: Mapping[str, int] = field(default_factory=dict)
+    # What this extract's own marks stand for, by raw column; other blank marks
+    # and empty cells are NULL.
+    blanks: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     # Raw columns replaced by a constant.
     constants: Mapping[str, str] = field(default_factory=dict)
 
@@ -147,6 +148,10 @@ def _literal(text: str | None) -> str:
 
 
 _IS_BLANK = "{c} IN (" + ", ".join(_literal(b) for b in BLANKS) + ")"
+_IS_MARK = "{c} IN (" + ", ".join(_literal(b) for b in BLANKS if b) + ")"
+
+
+_IS_MONTH = "charge.year RLIKE '^[0-9]{4}$' AND charge.month RLIKE '^(0[1-9]|1[0-2])$'"
 
 
 def _whole_number(name: str) -> str:
@@ -173,20 +178,26 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
     trimmed = landed.selectExpr(*[f"{fixed.get(n, f'trim({n})')} AS {n}" for n in BILL_RAW])
 
     def unmarked(name: str) -> Column:
-        """The cell with blank marks replaced by what they stand for."""
-        mark = _literal(str(spec.blanks[name]) if name in spec.blanks else None)
-        return F.expr(f"IF({_IS_BLANK.format(c=name)}, {mark}, {name}) AS {name}")
+        """The cell with this extract's marks replaced by what they stand for."""
+        known = "".join(
+            f" WHEN {name} = {_literal(mark)} THEN {_literal(str(number))}"
+            for mark, number in spec.blanks.get(name, {}).items()
+        )
+        blank = f" WHEN {_IS_BLANK.format(c=name)} THEN NULL"
+        return F.expr(f"CASE{known}{blank} ELSE {name} END AS {name}")
 
     numbers = ("rate", "customers", "kwh", "term", "service_fee", "term_fee", "terminations")
-    marked = F.expr(f"coalesce({_IS_BLANK.format(c='commencement')}, false)")
+    marked = F.expr(f"coalesce({_IS_MARK.format(c='commencement')}, false)")
+    started = F.expr("nullif(commencement, '')")
     cells = trimmed.select(
         "supplier",
         "edc",
         zip_text("zip", spec.zip_prefix).alias("zip"),
         *[unmarked(n) for n in numbers],
         _month_of(spec.charge, F.col("charge")).alias("charge"),
-        F.when(~marked, _month_of(spec.commencement, F.col("commencement"))).alias("start"),
+        F.when(~marked, _month_of(spec.commencement, started)).alias("start"),
         marked.alias("start_marked"),
+        F.col("charge").alias("charge_text"),
     )
 
     def number(name: str) -> str:
@@ -195,8 +206,9 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
     start = "IF(start_marked, charge, start)" if spec.blank_commencement_is_charge else "start"
     typed = {
         "supplier": "supplier",
-        "year_charge": "charge.year",
-        "month_charge": "charge.month",
+        # A charge month that can't be read is a load error, never a year of its own.
+        "year_charge": f"IF({_IS_MONTH}, charge.year, NULL)",
+        "month_charge": f"IF({_IS_MONTH}, charge.month, NULL)",
         "billed_rate": f"try_cast(try_cast(rate AS DECIMAL(38,18)) AS {schemas.RATE})",
         "zipcode": "zip",
         "num_customers": _whole_number("customers"),
@@ -211,6 +223,7 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
     }
     # Texts that have to fit, by target column; a loose one may be anything.
     texts = {
+        "year_charge": "nullif(charge_text, '')",
         "billed_rate": "rate",
         "num_customers": "customers",
         "totalkwh": "kwh",
@@ -220,6 +233,8 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
         "num_terminations": "terminations",
     }
     texts = {target: raw for target, raw in texts.items() if raw not in spec.loose}
+    if spec.charge == "none":
+        del texts["year_charge"]
     return _checked(cells, typed, texts, schemas.BILLS, schemas.BILL_WIDTHS)
 
 

@@ -42,6 +42,12 @@ REPORT_ORDER = {
 LAYERS = ("q6_all", "q9_all", "rate_comparison", "amenities_all", "participation_data")
 
 
+# Of those, the ones whose layer is the product.
+STORED_LAYERS = {"q6_all": "cleaned_bills", "rate_comparison": "rate_comparison"}
+# Products delivered apart by year, and the column that has it.
+BY_YEAR = {"overpayment_by_zip_year": "year_charge"}
+
+
 def _order(key: str) -> Column:
     # Missing values last upwards and first downwards, as in SQL databases.
     if key.startswith("-"):
@@ -75,13 +81,27 @@ def store_layers(spark: SparkSession, t: Inputs, folder: str) -> Inputs:
 def publish(
     spark: SparkSession, t: Inputs, folder: str, products: Iterable[str] | None = None
 ) -> Inputs:
-    """Write the layers, then each product as a table and as a CSV report."""
+    """Write the layers, then each product as a table and as a CSV report.
+
+    The cleansed bills and the comparison are their layers' tables and not written
+    again; the comparison is also delivered as ``;`` text, in as many files as its
+    table has. Yearly products in ``BY_YEAR`` are tables by year.
+    """
+    if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
+        raise ValueError("publish needs spark.sql.ansi.enabled: sums would wrap on overflow")
     layered = store_layers(spark, t, f"{folder}/layers")
     for name in products or PRODUCTS:
+        if name == "rate_comparison":
+            write_report(layered.comparison, f"{folder}/reports/{name}", sep=";")
+        if name in STORED_LAYERS:
+            continue
         df = ordered(name, PRODUCTS[name](layered))
         path = f"{folder}/products/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if name in BY_YEAR:
+            write_by_year(df, path, BY_YEAR[name])
+        else:
+            df.write.mode("overwrite").parquet(path)
         if name not in LAYERS:
-            written = spark.read.schema(df.schema).parquet(path)
+            written = spark.read.schema(df.schema).parquet(path).select(*df.columns)
             write_report(ordered(name, written), f"{folder}/reports/{name}")
     return layered

@@ -29,6 +29,8 @@ def build_session(master: str | None = None, app: str = "voltledger", **conf: st
         # its row operators, whose code is split into small methods.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
+        # Sums of scaled integers must fail on overflow; without it they would wrap.
+        "spark.sql.ansi.enabled": "true",
         **conf,
     }
     for key, value in settings.items():

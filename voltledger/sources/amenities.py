@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.operators.cleanse import drop_where, normalise
 from voltledger.operators.conform import (
+    AMENITY_RAW,
     AmenitySpec,
     accepted,
     conform_amenities,
@@ -36,13 +37,17 @@ _XOOM = {
 }
 _TOWN_SQUARE = {**_PLAIN, "redeemed": "Number of Amenties Redeemed by Customers"}
 
+
+
+def _blank_row() -> Column:
+    """No mapped cell has anything in it."""
+    cells = [F.coalesce(F.trim(c), F.lit("")) for c in AMENITY_RAW]
+    return F.concat(*cells) == ""
+
+
 AMENITY_SPECS: tuple[AmenitySpec, ...] = (
     # The sheet starts with a blank row and a repeated heading.
-    AmenitySpec(
-        "ambit",
-        _PLAIN,
-        drop=lambda: F.coalesce(F.trim("supplier"), F.lit("")).isin("", "Supplier Name"),
-    ),
+    AmenitySpec("ambit", _PLAIN, drop=lambda: _blank_row() | F.coalesce(F.trim("supplier") == "Supplier Name", F.lit(False))),
     AmenitySpec("atlantic", _DISTRIBUTED),
     AmenitySpec(
         "clearview",

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 
 from voltledger.operators.conform import BillSpec, accepted, conform_bills, land, stack
 
-_MONTH_TO_MONTH = {"term": 1}
-
 # Column names of each supplier's extract, as delivered, with the
 # date styles and replacement rules that belong to it.
 BILL_SPECS: tuple[BillSpec, ...] = (
@@ -267,7 +265,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
         charge="m_yy",
         commencement="m_yy",
         loose=("term",),
-        blanks=_MONTH_TO_MONTH,
+        blanks={"term": {"NA": 1}},
     ),
     BillSpec(
         "starion",
@@ -326,7 +324,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
         commencement="name_yy",
         loose=("term",),
         blank_commencement_is_charge=True,
-        blanks=_MONTH_TO_MONTH,
+        blanks={"term": {"NULL": 1}},
     ),
     BillSpec(
         "energyplus",
@@ -347,7 +345,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
         zip_prefix="",
         loose=("term",),
         blank_commencement_is_charge=True,
-        blanks=_MONTH_TO_MONTH,
+        blanks={"term": {"Month-To-Month": 1}},
     ),
     BillSpec(
         "spark",
@@ -386,7 +384,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
         zip_prefix="",
         loose=("term", "term_fee", "terminations"),
         blank_commencement_is_charge=True,
-        blanks={"term": 1, "term_fee": 0, "terminations": 0},
+        blanks={"term": {"NULL": 1}, "term_fee": {"NULL": 0}, "terminations": {"NULL": 0}},
     ),
     BillSpec(
         "reliant",
@@ -405,7 +403,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
             "edc": "EDC",
         },
         loose=("term",),
-        blanks=_MONTH_TO_MONTH,
+        blanks={"term": {"Month-To-Month": 1}},
     ),
     BillSpec(
         "verde",
@@ -443,7 +441,7 @@ BILL_SPECS: tuple[BillSpec, ...] = (
         charge="name_yyyy",
         commencement="name_yyyy",
         loose=("term", "term_fee"),
-        blanks=_MONTH_TO_MONTH,
+        blanks={"term": {"NULL": 1}},
     ),
 )
 

@@ -18,12 +18,17 @@ def area_code(name: Column | str) -> Column:
     return F.substring(name, 7, 5)
 
 
+def is_area(code: Column | str) -> Column:
+    """Five digits: what is left when heading lines, which arrive as rows, are dropped."""
+    return F.coalesce((F.col(code) if isinstance(code, str) else code).rlike("^[0-9]{5}$"), F.lit(False))
+
+
 def acs_income(raw: DataFrame) -> DataFrame:
     """Households and median income by area from (geographic_name, count_households,
     median_hh_income) text.  Heading rows are dropped; ``250,000+`` and ``-``
     become NULL."""
     zcta = area_code("geographic_name")
-    rows = raw.withColumn("zcta", zcta).filter(F.col("zcta") != "phic ")
+    rows = raw.withColumn("zcta", zcta).filter(is_area("zcta"))
     return _fit(
         rows.withColumns(
             {
@@ -53,6 +58,7 @@ def zip_crosswalk(raw: DataFrame, state: str = "CT") -> DataFrame:
 def minority_share(raw: DataFrame) -> DataFrame:
     """Minority share by area; columns of the raw sheet are taken by position."""
     named = raw.toDF("geography", "geographic_area_name", "white_alone", "pct_minority")
+    named = named.filter(is_area(area_code("geographic_area_name")))
     share = F.bround(F.col("pct_minority").try_cast("double"), 3)
     return _fit(
         named.withColumns(
@@ -69,6 +75,7 @@ def minority_share(raw: DataFrame) -> DataFrame:
 def low_english(raw: DataFrame) -> DataFrame:
     """Share of households with limited English by area, columns by position."""
     named = raw.toDF("zcta", "households", "limited_english_households", "pct_low_english")
+    named = named.filter(is_area("zcta"))
     return _fit(
         named.withColumns(
             {
@@ -84,7 +91,7 @@ def low_english(raw: DataFrame) -> DataFrame:
 def population(raw: DataFrame) -> DataFrame:
     """Total population by area from (Area, Total_population)."""
     return _fit(
-        raw.select(
+        raw.filter(is_area(area_code("Area"))).select(
             area_code("Area").alias("zcta"), int_or_null("Total_population").alias("total_population")
         ),
         schemas.POPULATION,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voltledger import schemas
 from voltledger.functions import int_or_null, year_month
 from voltledger.operators.cleanse import clean_green
+from voltledger.operators.conform import accepted
 
 # Heading of each count in the utilities' answers.
 PARTICIPATION_COLUMNS = {
@@ -30,12 +31,24 @@ PARTICIPATION_COLUMNS = {
 }
 
 
+def _with_errors(rows: DataFrame, typed: Mapping[str, Column], checked: Mapping[str, Column]) -> DataFrame:
+    """Typed columns and ``load_errors``: names of the columns whose text did not fit."""
+    wrong = [F.when(text.isNotNull() & typed[n].isNull(), F.lit(n)) for n, text in checked.items()]
+    errors = F.nullif(F.concat_ws(",", *wrong), F.lit(""))
+    return rows.select(*[c.alias(n) for n, c in typed.items()], errors.alias("load_errors"))
+
+
+def load_green(raw: DataFrame) -> DataFrame:
+    """Green usage typed; a filled cell that does not fit its column is a load error."""
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schemas.GREEN}
+    numbers = [f.name for f in schemas.GREEN if f.dataType.simpleString() != "string"]
+    text = {n: F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in numbers}
+    return _with_errors(raw, typed, text)
+
+
 def green_usage(raw: DataFrame) -> DataFrame:
-    """Usage of customers on a green choice, typed, without negative rows."""
-    typed = raw.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.GREEN]
-    )
-    return clean_green(typed)
+    """Usage of customers on a green choice, typed, without negative rows and load errors."""
+    return clean_green(accepted(load_green(raw)))
 
 
 def rate_sheet(raw: DataFrame) -> DataFrame:
@@ -51,7 +64,16 @@ def rate_sheet(raw: DataFrame) -> DataFrame:
 def participation_counts(
     raw: DataFrame, utility: str | Column, columns: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Customer counts with missing values as 0, tagged with the utility.
+    """``load_participation`` without the rows that have load errors."""
+    return accepted(load_participation(raw, utility, columns))
+
+
+def load_participation(
+    raw: DataFrame, utility: str | Column, columns: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Customer counts with missing values as 0, tagged with the utility, and ``load_errors``.
+
+    A filled cell that is no number (``1,234``) is a load error, not 0.
 
     ``utility`` is a name, whose answer's headings are known, or a column of a
     sheet holding several utilities, with ``columns`` giving its headings.
@@ -63,12 +85,10 @@ def participation_counts(
         utility.alias("edc"),
     )
     counts = ("num_custs_supplier", "num_custs_edc", "tot_custs")
-    filled = named.withColumns(
-        {
-            **{k: F.coalesce(F.rtrim(k), F.lit("0")) for k in ("zip", "year")},
-            **{c: F.coalesce(int_or_null(c), F.lit(0)) for c in counts},
-        }
-    )
-    return filled.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PARTICIPATION]
-    )
+    text = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("0")) for c in counts}
+    filled = {k: F.coalesce(F.rtrim(k), F.lit("0")) for k in ("zip", "year")}
+    filled |= {c: int_or_null(text[c]) for c in counts}
+    typed = {
+        f.name: filled.get(f.name, F.col(f.name)).cast(f.dataType) for f in schemas.PARTICIPATION
+    }
+    return _with_errors(named, typed, text)
