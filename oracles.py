@@ -461,19 +461,23 @@ def _perk_numbers(table: str, key: str, zero: bool) -> str:
         {z(_ratio('v * 100', 'o'))} AS value_pct_of_overpayment FROM {table}"""
 
 
-def _perk_text(table: str, key: str, digits: int) -> str:
+def _perk_text(table: str, key: str, digits: int, empty: str = "NULL") -> str:
+    """Masks of the report: whole dollars, cents a bill, the total's share with two decimals;
+    ``empty`` stands in a cell without a value."""
     return f"""SELECT {key},
-        CASE WHEN value_redeemed < 0 THEN '-' ELSE '' END || '$'
-            || format('{{:,d}}', CAST(round(abs(value_redeemed), 0) AS BIGINT)) AS value_redeemed,
-        format('{{:,d}}', total_bills) AS total_bills,
-        CASE WHEN total_overpayment < 0 THEN '-' ELSE '' END || '$'
-            || format('{{:,d}}', CAST(round(abs(total_overpayment), 0) AS BIGINT))
+        coalesce(CASE WHEN value_redeemed < 0 THEN '-' ELSE '' END || '$'
+            || format('{{:,d}}', CAST(round(abs(value_redeemed), 0) AS BIGINT)), {empty}) AS value_redeemed,
+        coalesce(format('{{:,d}}', total_bills), {empty}) AS total_bills,
+        coalesce(CASE WHEN total_overpayment < 0 THEN '-' ELSE '' END || '$'
+            || format('{{:,d}}', CAST(round(abs(total_overpayment), 0) AS BIGINT)), {empty})
             AS total_overpayment,
-        CASE WHEN value_redeemed_per_bill < 0 THEN '-' ELSE '' END || '$'
-            || format('{{:,.2f}}', round(abs(value_redeemed_per_bill), 2))
+        coalesce(CASE WHEN value_redeemed_per_bill < 0 THEN '-' ELSE '' END || '$'
+            || format('{{:,.2f}}', round(abs(value_redeemed_per_bill), 2)), {empty})
             AS value_redeemed_per_bill,
-        format('{{:,.{digits}f}}', round(value_pct_of_overpayment, {digits})) || '%'
-            AS value_pct_of_overpayment
+        coalesce(CASE WHEN {key} IN ('Total', 'All')
+            THEN format('{{:,.2f}}', round(value_pct_of_overpayment, 2))
+            ELSE format('{{:,.{digits}f}}', round(value_pct_of_overpayment, {digits})) END || '%',
+            {empty}) AS value_pct_of_overpayment
         FROM ({table})"""
 
 
@@ -618,7 +622,7 @@ QUERIES = {
         _perk_numbers("perk_report_year", "year", False), "year", 1
     ),
     "amenity_report_by_supplier": _perk_text(
-        _perk_numbers("perk_report_supplier", "supplier", True), "supplier", 2
+        _perk_numbers("perk_report_supplier", "supplier", False), "supplier", 2, "'0'"
     ),
     "minority_flags": f"""
         SELECT geography, geographic_area_name, {_dbl('white_alone')} AS white_alone,

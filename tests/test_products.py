@@ -13,7 +13,9 @@ import __spark_entry__ as entry
 import oracles
 import standins
 from voltledger import schemas
+from voltledger.operators import additive, per_unit_split, premium, split
 from voltledger.plans import PRODUCTS, publish
+from voltledger.plans.publish import store_layers
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,11 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def files(df):
+    """Files that a query may read."""
+    return "\n".join(df.inputFiles())
+
+
 def plan(df):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
@@ -159,6 +166,44 @@ def test_products_from_stored_layers_are_the_same(spark, tables, tmp_path):
     assert report.columns[0] == "zcta" and report.count() == PRODUCTS[names[3]](tables).count()
 
 
+def test_cells_give_the_same_products_and_are_what_publish_reads(spark, tables, tmp_path):
+    layered = store_layers(spark, tables, str(tmp_path))
+    reads = {n for n in PRODUCTS if str(tmp_path / "rate_comparison") in files(PRODUCTS[n](layered))}
+    assert reads == {"rate_comparison", "premium_distribution"}
+    from_cells = [n for n in PRODUCTS if re.search(r"/(cells|terms)/", files(PRODUCTS[n](layered)))]
+    assert len(from_cells) >= 24
+    for name in from_cells:
+        want, got = PRODUCTS[name](tables), PRODUCTS[name](layered)
+        assert want.schema.simpleString() == got.schema.simpleString()
+        assert table(want.columns, want.collect()) == table(got.columns, got.collect()), name
+
+
+def test_cells_keep_signs_and_missing_values(spark):
+    schema = "k string, overpayment_e7 bigint, num_customers int, totalkwh decimal(18,1)"
+    rows = [
+        ("a", 5, 1, Decimal("2.0")), ("a", 7, 2, Decimal("1.0")), ("a", -3, 1, Decimal("1.0")), ("a", 0, 0, Decimal("0.0")),
+        ("b", 4, None, Decimal("1.0")), ("b", 6, 3, Decimal("1.0")), ("c", None, 2, Decimal("1.0")), ("c", 9, 1, None),
+        (None, -1, 1, Decimal("1.0")), (None, 8, 1, Decimal("1.0")),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    cells = additive(df, ["k"])
+    assert cells.count() == 9  # only a's two overpaying rows share one
+    for product in (split, premium, per_unit_split):
+        key = lambda r: str(r[0])
+        assert sorted(product(df, ["k"]).collect(), key=key) == sorted(product(cells, ["k"]).collect(), key=key)
+
+
+def test_report_cells_without_an_amenity_are_a_bare_zero(tables):
+    one = tables.amenities.limit(1)
+    giver = one.first().supplier
+    t = tables.replaced(amenities=tables.amenities.filter(tables.amenities.supplier == giver))
+    rows = {r.supplier: r for r in PRODUCTS["amenity_report_by_supplier"](t).collect()}
+    none = [r for s, r in rows.items() if s not in (giver, "All")]
+    assert none and {(r.value_redeemed, r.value_redeemed_per_bill, r.value_pct_of_overpayment) for r in none} == {("0", "0", "0")}
+    years = {r.year: r for r in PRODUCTS["amenity_report_by_year"](tables).collect()}
+    assert all(len(r.value_pct_of_overpayment.split(".")[1]) == (3 if y == "Total" else 2) for y, r in years.items())
+
+
 def test_invariants(spark, tables):
     rows = PRODUCTS["overpayment_by_supplier_year"](tables).collect()
     for r in rows:

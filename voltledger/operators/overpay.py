@@ -23,6 +23,27 @@ def kwh(where: Column | None = None, strict: bool = False) -> Column:
     return scaled_sum(scaled("totalkwh", 1), 1, where, strict)
 
 
+# What the cells of a comparison add up.
+MEASURES = ("overpayment_e7", "num_customers", "totalkwh")
+
+
+def additive(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Compared bills added up to cells that every aggregate here takes for bills.
+
+    Rows share a cell only if each measure has the same sign in them, or is missing
+    in all of them. So a cell's measure is positive, negative, zero or NULL exactly
+    where its rows' are: conditions on a sign, sums of one side and sums that a
+    missing value makes missing give the same values over cells as over rows. Counts
+    of rows do not, nor do conditions on other amounts.
+
+    A cell's overpayment is one long, enough for 9 * 10**11 dollars; beyond that the
+    sum fails.
+    """
+    signs = [F.signum(F.col(m).cast("double")).alias(f"_sign_{m}") for m in MEASURES]
+    cells = df.groupBy(*keys, *signs).agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return cells.select(*keys, *MEASURES)
+
+
 def split(
     df: DataFrame,
     keys: Sequence[str],

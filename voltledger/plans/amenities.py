@@ -21,7 +21,7 @@ def amenities_all(t: Inputs) -> DataFrame:
 
 
 def _bills(t: Inputs, key: str) -> DataFrame:
-    return t.comparison.groupBy(key).agg(
+    return t.cells.groupBy(key).agg(
         F.sum("num_customers").alias("total_bills"), net().alias("total_overpayment")
     )
 
@@ -46,8 +46,8 @@ def amenity_summary_by_year(t: Inputs) -> DataFrame:
     return _with_shares(with_total(joined, "year", "Total", _sums()))
 
 
-def amenity_summary_by_supplier(t: Inputs) -> DataFrame:
-    """By supplier of bills, 0 where it gave no amenity, and an All row.
+def _supplier_summary(t: Inputs) -> DataFrame:
+    """By supplier of bills, NULL where it gave no amenity, and an All row.
 
     The All row takes in the amenities of suppliers without bills too, so both
     come from one full merge: rows need a bill side, the total does not.
@@ -62,30 +62,41 @@ def amenity_summary_by_supplier(t: Inputs) -> DataFrame:
         .select(F.col("_who").alias("supplier"), "_side", *_SUMMED)
     )
     summed = with_total(full, "supplier", "All", _sums(), within=["_side"])
-    shown = _with_shares(summed.filter(F.col("_side").isNull() | F.col("_side"))).drop("_side")
-    return shown.select("supplier", *[_zero(c) for c in shown.columns if c != "supplier"])
+    return _with_shares(summed.filter(F.col("_side").isNull() | F.col("_side"))).drop("_side")
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)).alias(name)
+def amenity_summary_by_supplier(t: Inputs) -> DataFrame:
+    """By supplier of bills, 0 where it gave no amenity, and an All row."""
+    return _filled(_supplier_summary(t), 0)
 
 
-def _formatted(df: DataFrame, key: str, share_digits: int) -> DataFrame:
+def _filled(df: DataFrame, zero: int | str) -> DataFrame:
+    return df.select(
+        "supplier", *[F.coalesce(c, F.lit(zero)).alias(c) for c in df.columns if c != "supplier"]
+    )
+
+
+def _formatted(df: DataFrame, key: str, share_digits: int, total_digits: int) -> DataFrame:
+    """As report text; the total row shows its share with digits of its own."""
+    total = F.col(key).isin("Total", "All")
+    share = F.when(total, percent("value_pct_of_overpayment", total_digits)).otherwise(
+        percent("value_pct_of_overpayment", share_digits)
+    )
     return df.select(
         key,
         money("value_redeemed").alias("value_redeemed"),
         thousands("total_bills").alias("total_bills"),
         money("total_overpayment").alias("total_overpayment"),
         money("value_redeemed_per_bill", 2).alias("value_redeemed_per_bill"),
-        percent("value_pct_of_overpayment", share_digits).alias("value_pct_of_overpayment"),
+        share.alias("value_pct_of_overpayment"),
     )
 
 
 def amenity_report_by_year(t: Inputs) -> DataFrame:
     """``amenity_summary_by_year`` as report text."""
-    return _formatted(amenity_summary_by_year(t), "year", 1)
+    return _formatted(amenity_summary_by_year(t), "year", 1, 2)
 
 
 def amenity_report_by_supplier(t: Inputs) -> DataFrame:
-    """``amenity_summary_by_supplier`` as report text."""
-    return _formatted(amenity_summary_by_supplier(t), "supplier", 2)
+    """``amenity_summary_by_supplier`` as report text: a bare ``0`` in each cell that has no value."""
+    return _filled(_formatted(_supplier_summary(t), "supplier", 2, 2), "0")

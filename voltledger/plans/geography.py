@@ -89,14 +89,14 @@ def _per_kwh(t: Inputs, years: DataFrame) -> DataFrame:
 def overpayment_per_kwh_zcta_year(t: Inputs) -> DataFrame:
     """Rounded kWh and net amount by area and year and their ratio; unlike
     ``overpayment_by_zcta`` it starts from unrounded postal-code sums."""
-    return _per_kwh(t, t.comparison)
+    return _per_kwh(t, t.cells)
 
 
 def save_overpay_by_zcta(t: Inputs, year: str = REPORT_YEAR) -> DataFrame:
     """Savers and overpayers side by side per area, bills with customers and kWh
     only.  An area on one side only keeps NULL on the other."""
     v = F.col("overpayment_e7")
-    used = t.comparison.filter(
+    used = t.cells.filter(
         (F.col("year_charge") == year)
         & (F.col("num_customers") > 0)
         & (F.col("totalkwh") > 0)
@@ -215,7 +215,7 @@ def overpayment_by_demographics(t: Inputs) -> DataFrame:
 def _extremes_per_kwh(
     t: Inputs, dim: DataFrame, by: str, year: str, n_low: int, n_high: int
 ) -> DataFrame:
-    areas = _per_kwh(t, t.comparison.filter(F.col("year_charge") == year))
+    areas = _per_kwh(t, t.cells.filter(F.col("year_charge") == year))
     joined = dim.select("zcta", by).join(
         areas.select(
             "zcta", "net_overpayment", F.col("overpayment_per_kwh").alias("overpayment_kwh")
@@ -287,7 +287,7 @@ def public_extract(t: Inputs) -> DataFrame:
     only adds up codes the crosswalk lists more than once for one place.
     """
     keys = ["year_charge", "zipcode", "supplier", "edc"]
-    small = t.comparison.groupBy(*keys).agg(
+    small = t.cells.groupBy(*keys).agg(
         F.sum("num_customers").alias("total_customers"), net().alias("net_overpayment")
     )
     area = t.crosswalk.select("zipcode", "zcta", F.col("po_name").alias("municipality"))

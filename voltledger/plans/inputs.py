@@ -20,18 +20,24 @@ CONFORMED = (
     "english",
     "population",
 )
+# Derived from the bills unless given as stored tables.
+DERIVED = ("cleaned", "comparison", "cells", "terms")
+
+# Keys of the two additive layers.
+CELL_KEYS = ("supplier", "edc", "zipcode", "year_charge", "year_half")
+TERM_KEYS = ("edc", "month_commencement", "contractterm")
 
 
 class Inputs:
     """Conformed inputs by name, each a DataFrame or a function giving one.
 
-    A function is called when a product first needs its table.  ``cleaned`` and
-    ``comparison`` are derived from the bills unless they are given, as stored
-    tables, under those names.
+    A function is called when a product first needs its table.  ``cleaned``,
+    ``comparison``, ``cells`` and ``terms`` are derived from the bills unless they
+    are given, as stored tables, under those names.
     """
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
-        unknown = set(tables) - {*CONFORMED, "cleaned", "comparison"}
+        unknown = set(tables) - {*CONFORMED, *DERIVED}
         if unknown:
             raise ValueError(f"unknown inputs: {sorted(unknown)}")
         self._tables = dict(tables)
@@ -62,6 +68,16 @@ class Inputs:
             return self._table("comparison")
         return compare_rates(self.cleaned, self.rate_sheet)
 
+    @property
+    def cells(self) -> DataFrame:
+        """What products by ``CELL_KEYS`` aggregate: the comparison's cells if stored, else itself."""
+        return self._table("cells") if "cells" in self._tables else self.comparison
+
+    @property
+    def terms(self) -> DataFrame:
+        """The same by ``TERM_KEYS``."""
+        return self._table("terms") if "terms" in self._tables else self.comparison
+
     def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Inputs:
         """The same inputs with some tables exchanged."""
         return Inputs(**{**self._tables, **tables})

@@ -34,7 +34,7 @@ def rate_comparison(t: Inputs) -> DataFrame:
 
 def overpayment_by_year(t: Inputs) -> DataFrame:
     return split(
-        t.comparison,
+        t.cells,
         ["year_charge"],
         extras={
             "total_kwh": kwh(strict=True),
@@ -44,27 +44,27 @@ def overpayment_by_year(t: Inputs) -> DataFrame:
 
 
 def overpayment_by_supplier(t: Inputs) -> DataFrame:
-    return split(t.comparison, ["supplier"])
+    return split(t.cells, ["supplier"])
 
 
 def overpayment_by_supplier_year(t: Inputs) -> DataFrame:
-    return split(t.comparison, ["supplier", "year_charge"])
+    return split(t.cells, ["supplier", "year_charge"])
 
 
 def avg_premium_by_supplier_year(t: Inputs) -> DataFrame:
-    return premium(t.comparison, ["supplier", "year_charge"])
+    return premium(t.cells, ["supplier", "year_charge"])
 
 
 def overpayment_by_zip(t: Inputs) -> DataFrame:
-    return split(t.comparison, ["zipcode"])
+    return split(t.cells, ["zipcode"])
 
 
 def overpayment_by_zip_year(t: Inputs) -> DataFrame:
-    return split(t.comparison, ["year_charge", "zipcode"])
+    return split(t.cells, ["year_charge", "zipcode"])
 
 
 def overpayment_by_half_year(t: Inputs) -> DataFrame:
-    return split(t.comparison, ["year_charge", "year_half"])
+    return split(t.cells, ["year_charge", "year_half"])
 
 
 def premium_distribution(t: Inputs, year: str = "2021") -> DataFrame:
@@ -79,7 +79,7 @@ def premium_distribution(t: Inputs, year: str = "2021") -> DataFrame:
 
 
 def savings_overpayment_by_year(t: Inputs) -> DataFrame:
-    return per_unit_split(t.comparison, ["year_charge"])
+    return per_unit_split(t.cells, ["year_charge"])
 
 
 def contract_term_pivot(t: Inputs) -> DataFrame:
@@ -87,7 +87,7 @@ def contract_term_pivot(t: Inputs) -> DataFrame:
     term = F.col("contractterm")
     terms = list(range(SHORTEST_TERM, LONGEST_TERM + 1))
     nets = (
-        t.comparison.filter((term >= SHORTEST_TERM) & (term <= LONGEST_TERM))
+        t.terms.filter((term >= SHORTEST_TERM) & (term <= LONGEST_TERM))
         .groupBy("edc", "month_commencement", "contractterm")
         .agg(net().cast("double").alias("net"))
     )
@@ -108,7 +108,7 @@ def contract_term_bands(t: Inputs) -> DataFrame:
         .otherwise("over 36")
     )
     return (
-        t.comparison.groupBy("edc", band.alias("band"))
+        t.terms.groupBy("edc", band.alias("band"))
         .agg(
             net().alias("net_overpayment"),
             F.sum("num_customers").alias("customers"),

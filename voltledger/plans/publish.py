@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltledger.operators import clean_bills, compare_rates
-from voltledger.plans.inputs import Inputs
+from voltledger.operators import additive, clean_bills, compare_rates
+from voltledger.plans.inputs import CELL_KEYS, TERM_KEYS, Inputs
 from voltledger.plans.products import PRODUCTS
 from voltledger.sources import write_by_year, write_report
 
@@ -62,20 +62,27 @@ def ordered(name: str, df: DataFrame) -> DataFrame:
 
 
 def store_layers(spark: SparkSession, t: Inputs, folder: str) -> Inputs:
-    """Cleansed bills and the rate comparison as tables by year.
+    """Cleansed bills, the rate comparison and its additive cells as tables.
 
-    The bills are read and joined once here; every product then reads the columns
-    and years it needs from the stored comparison.
+    The bills are read and joined once here, and the comparison is added up once by
+    ``CELL_KEYS`` and once by ``TERM_KEYS``. The products aggregate those cells, whose
+    number is bounded by the keys; only ``premium_distribution`` reads bills again, one
+    year of them.
     """
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
+    def stored(df: DataFrame, name: str, by_year: bool = True) -> DataFrame:
         path = f"{folder}/{name}"
-        write_by_year(df, path)
+        if by_year:
+            write_by_year(df, path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     cleaned = stored(clean_bills(t.bills), "cleaned_bills")
     comparison = stored(compare_rates(cleaned, t.rate_sheet), "rate_comparison")
-    return t.replaced(cleaned=cleaned, comparison=comparison)
+    cells = stored(additive(comparison, CELL_KEYS), "cells")
+    terms = stored(additive(comparison, TERM_KEYS), "terms", by_year=False)
+    return t.replaced(cleaned=cleaned, comparison=comparison, cells=cells, terms=terms)
 
 
 def publish(
