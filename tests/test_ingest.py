@@ -4,10 +4,11 @@ import pytest
 
 from voltledger.operators import accepted, rejected
 from voltledger.operators.conform import AMENITY_RAW, BILL_RAW, conform_amenities, conform_bills
+from voltledger.plans import ingest, publish
 from voltledger.sources.amenities import AMENITY_SPECS
 from voltledger.sources.bills import BILL_SPECS
 from voltledger.sources.census import acs_income, low_english, minority_share, population
-from voltledger.sources.readers import read_positional
+from voltledger.sources.readers import read_positional, read_sheet
 from voltledger.sources.usage import load_green, load_participation
 
 SPECS = {s.name: s for s in BILL_SPECS}
@@ -90,3 +91,78 @@ def test_heading_lines_are_not_areas(spark, tmp_path):
     people = spark.createDataFrame([("Area", "Total"), ("ZCTA5 06001", "12")], ["Area", "Total_population"])
     assert [(r.zcta, r.total_population) for r in population(people).collect()] == [("06001", 12)]
 
+
+
+@pytest.mark.parametrize("above", [0, 1, 2, 4])
+def test_a_sheet_is_read_from_its_heading_on(spark, tmp_path, above):
+    lines = ["Responses,,", "Attachment 6,,", ",,", "note,of,things"][:above]
+    for part in ("a.csv", "b.csv"):  # files of one path repeat their headings
+        text = [*lines, '"Supplier  Name",skip,Total KWh', f'{part},"1,5",7', ",,", f'"say ""x""",,']
+        (tmp_path / part).write_text("\n".join(text) + "\n")
+    sheet = read_sheet(spark, str(tmp_path), ["Total kWh", "Supplier Name"])
+    assert sheet.columns == ["Total kWh", "Supplier Name"]
+    got = sorted(tuple(r) for r in sheet.fillna("-").collect())
+    assert got == [("-", 'say "x"')] * 2 + [("7", "a.csv"), ("7", "b.csv")]
+
+
+def test_headings_with_line_breaks_need_no_single_task(spark, tmp_path):
+    body = "".join(f"06{i:03d},2021,{i},2\r\n" for i in range(500))
+    (tmp_path / "s.csv").write_text('Answer,,,\r\nZip Code,Year-end,"Supplier \r\nCustomer Count","EDC \r\nCustomer Count"\r\n' + body, newline="")
+    heads = ["Zip Code", "Supplier \r\nCustomer Count"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        sheet = read_sheet(spark, str(tmp_path), heads)
+        assert sheet.rdd.getNumPartitions() > 1
+        rows = sorted(tuple(r) for r in sheet.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [(f"06{i:03d}", str(i)) for i in range(500)]
+
+
+def test_a_sheet_without_its_heading_is_an_error(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="no heading"):
+        read_sheet(spark, str(tmp_path), ["a", "c"])
+
+
+def test_from_sheets_to_a_report(spark, tmp_path):
+    def sheet(name, *lines):
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+        return str(tmp_path / f"{name}.csv")
+
+    def headed(columns, *rows):
+        """A heading and rows of cells by raw name."""
+        quoted = ",".join(f'"{c}"' for c in columns.values())
+        return [quoted, *[",".join(r.get(k, "") for k in columns) for r in rows]]
+
+    bill = {"supplier": "S", "charge": "2021-07", "rate": "0.2", "zip": "6001", "customers": "3", "kwh": "10", "edc": "UI"}
+    perk = {"supplier": "S", "year": "2021", "amenity": "Mug", "value": "5", "redeemed": "2"}
+    out = str(tmp_path / "out")
+    tables = ingest(
+        spark,
+        out,
+        bills={"cne": sheet("cne", "Attachment", *headed(SPECS["cne"].columns, bill, bill | {"charge": "Total:"}, bill | {"rate": "0.05"}))},
+        amenities={"atlantic": sheet("atlantic", "Attachment", "x,y", *headed(SHEETS["atlantic"].columns, perk))},
+        participation={"UI": sheet("ui", 'Zip Code,Year-end,"Supplier \nCustomer Count","EDC \nCustomer Count","Total \nCustomer Count"', "06001,2021,4,6,10", '06002,2021,"1,234",6,10')},
+        sheets={
+            "green": sheet("green", "supplier,year_charge,num_customers,specific_commitment,billed_rate,totalkwh", "S,2021,1,x,0.2,5"),
+            "rate_sheet": sheet("rates", "Year,Month,Eversource_rate,UI_rate", "2021,7,9,10"),
+            "crosswalk": sheet("xwalk", "ZIP_CODE,PO_NAME,STATE,ZIP_TYPE,ZCTA,zip_join_type", "06001,Avon,CT,a,06001,b", "99999,Else,AK,a,99999,b"),
+            "income": sheet("income", "Name,Households,Median", "ZCTA5 06001,10,90000"),
+            "minority": sheet("minority", "id,name,white,share", "8600000US06001,ZCTA5 06001,60.5,0.395"),
+            "english": sheet("english", "ZCTA,h,l,p", "06001,10,1,0.1"),
+            "population": sheet("people", "Area,Total", "ZCTA5 06001,12"),
+        },
+    )
+    assert tables.bills.count() == 2
+    rejects = {(r.load, r.load_errors, r["count"]) for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert rejects == {("bills", "year_charge", 1), ("participation", "num_custs_supplier", 1)}
+    assert spark.read.parquet(f"{out}/control_totals").first().supplier == "S"
+    names = ["overpayment_by_zcta_year", "amenity_report_by_year", "rate_comparison", "overpayment_by_zip_year"]
+    publish(spark, tables, out, names)
+    report = spark.read.option("header", True).csv(f"{out}/reports/overpayment_by_zcta_year").first()
+    # 10 kWh at ten and at minus five cents over the standard rate: 1 and -0.5, rounded half to even.
+    assert (report.zcta, report.gross_overpayment, report.customers_affected) == ("06001", "1", "6")
+    assert spark.read.option("header", True).option("sep", ";").csv(f"{out}/reports/rate_comparison").count() == 2
+    assert [r.year_charge for r in spark.read.parquet(f"{out}/products/overpayment_by_zip_year/year_charge=2021").selectExpr("'2021' AS year_charge").collect()] == ["2021"]

@@ -1,5 +1,6 @@
+from voltledger.plans.ingest import ingest
 from voltledger.plans.inputs import Inputs
 from voltledger.plans.products import PRODUCTS
 from voltledger.plans.publish import ordered, publish, store_layers
 
-__all__ = ["PRODUCTS", "Inputs", "ordered", "publish", "store_layers"]
+__all__ = ["PRODUCTS", "Inputs", "ingest", "ordered", "publish", "store_layers"]

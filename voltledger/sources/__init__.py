@@ -14,7 +14,7 @@ from voltledger.sources.census import (
     population,
     zip_crosswalk,
 )
-from voltledger.sources.readers import read_extract, read_positional
+from voltledger.sources.readers import read_extract, read_positional, read_sheet
 from voltledger.sources.sinks import (
     append_table,
     bill_audit,
@@ -24,12 +24,20 @@ from voltledger.sources.sinks import (
     write_load,
     write_report,
 )
-from voltledger.sources.usage import green_usage, participation_counts, rate_sheet
+from voltledger.sources.usage import (
+    PARTICIPATION_COLUMNS,
+    green_usage,
+    load_green,
+    load_participation,
+    participation_counts,
+    rate_sheet,
+)
 
 __all__ = [
     "AMENITY_SPECS",
     "BILL_SPECS",
     "CORRECTIONS",
+    "PARTICIPATION_COLUMNS",
     "STUDY_YEARS",
     "acs_income",
     "append_table",
@@ -38,6 +46,8 @@ __all__ = [
     "green_usage",
     "load_amenities",
     "load_bills",
+    "load_green",
+    "load_participation",
     "low_english",
     "minority_share",
     "overwrite_table",
@@ -46,6 +56,7 @@ __all__ = [
     "rate_sheet",
     "read_extract",
     "read_positional",
+    "read_sheet",
     "union_amenities",
     "union_bills",
     "write_by",

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -31,3 +37,54 @@ def read_positional(spark: SparkSession, path: str, names: list[str], sep: str =
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.schema(schema).option("sep", sep).csv(path)
+
+
+def _plain(heading: str) -> str:
+    """A heading without differences of case, spacing and line breaks."""
+    return " ".join(heading.lstrip("\ufeff").split()).lower()
+
+
+def read_sheet(
+    spark: SparkSession,
+    path: str,
+    headings: Sequence[str],
+    sep: str = ",",
+    width: int = 64,
+    look: int = 50,
+    multi_line: bool = False,
+) -> DataFrame:
+    """The columns under ``headings``, as text, of a sheet with lines above its heading.
+
+    The heading is the first of the top ``look`` rows that holds all ``headings``; it
+    may have line breaks in its cells. It and the lines above it are dropped by what
+    they hold, wherever a file of the path repeats them, so the sheet itself is read
+    by as many tasks as it has splits. Rows empty in all these columns go as well.
+    All files of the path have one layout of at most ``width`` columns; a sheet
+    without such a heading is an error. ``multi_line`` is for line breaks below the
+    heading; a file is then read by one task.
+    """
+    names = [f"c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def rows(lines: bool) -> DataFrame:
+        options = {"sep": sep, "escape": '"', "multiLine": lines}
+        return spark.read.schema(schema).options(**options).csv(path)
+
+    top = rows(True).head(look)
+    want = {_plain(h) for h in headings}
+    at = next((i for i, r in enumerate(top) if want <= {_plain(c) for c in r if c}), None)
+    if at is None:
+        raise ValueError(f"{path}: no heading with {sorted(want)} in the first {look} rows")
+    place: dict[str, str] = {}
+    for name, cell in zip(names, top[at], strict=True):
+        place.setdefault(_plain(cell or ""), name)
+    kept = [place[_plain(h)] for h in headings]
+    body = rows(multi_line).select(*dict.fromkeys(kept))
+    # How many lines the rows down to the heading take when they are read line by line.
+    breaks = sum(len(re.findall("\r\n|\r|\n", c)) for r in top[: at + 1] for c in r if c)
+    above = body.head(at + 1 + (0 if multi_line else breaks))
+    empty = reduce(and_, [F.col(c).isNull() for c in body.columns])
+    same = [reduce(and_, [F.col(c).eqNullSafe(r[c]) for c in body.columns]) for r in above]
+    return body.filter(~reduce(or_, same, empty)).select(
+        *[F.col(c).alias(h) for c, h in zip(kept, headings, strict=True)]
+    )
