@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
-    "k1 string, fp string, position string, words string, score string"
+    "k1 string, fp string, position string, words string, score string, g1 string, p1 string, p string, pn string"
 )
 
 
@@ -29,7 +29,7 @@ def odd_rows(given):
         own[0], own[0], own[1],
         (7001, own[2][1], "en", "src9", own[2][4]),
     ]
-    return [(*r, "a", "b", "c", "d", "e") for r in own + odd]
+    return [(*r, *"abcdefghi") for r in own + odd]
 
 
 @pytest.fixture(scope="session")

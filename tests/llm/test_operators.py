@@ -396,3 +396,11 @@ def test_mix(odd, none, odd_rows):
     assert mixed.columns == [*odd.columns, "copy", "position_"]
     assert mixed.count() == sum(r.copies for r in rows)
     assert curriculum.plan(none).count() == 0 and curriculum.mix(none).count() == 0
+
+
+def test_mix_tells_rows_of_two_sources_with_equal_keys_apart(spark):
+    rows = [(i, f"w{i} " * (3 + i % 5), "en", s, 9) for i in range(40) for s in ("s0", "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter({(r.doc_id, r.source): r.copies for r in curriculum.plan(docs).collect() if r.copies})
+    assert len({n for n in want.values()}) > 1
+    assert Counter((r.doc_id, r.source) for r in curriculum.mix(docs).collect()) == want

@@ -358,12 +358,12 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Rows that lose all their words go: nothing is left to train on.
     """
-    spans = covered(docs, window).toDF("g1", "g2", "spans")
-    k1, k2, found = fresh(docs, "k1", "k2", "found")
+    k1, k2, g1, g2, found = fresh(docs, "k1", "k2", "g1", "g2", "found")
+    spans = covered(docs, window).toDF(g1, g2, found)
     a, b = row_keys(docs)
     met = docs.withColumns({k1: a, k2: b}).join(
-        spans.withColumnRenamed("spans", found), (F.col(k1) == F.col("g1")) & (F.col(k2) == F.col("g2")), "left"
-    )
+        spans, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left"
+    )
 
     @F.pandas_udf("binary")
     def left(text: pd.Series, span: pd.Series) -> pd.Series:
