@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voltledger import schemas
 from voltledger.operators import accepted, conform_amenities, conform_bills, conform_landed
 from voltledger.plans import Inputs
-from voltledger.session import shared_folder, small_methods
+from voltledger.session import ends_with_session, shared_folder, small_methods
 from voltledger.sources import (
     AMENITY_SPECS,
     BILL_SPECS,
@@ -544,23 +544,24 @@ def _store(
     Real inputs arrive as stored tables.  Storing the derived ones gives the
     planner their true size, so it broadcasts dimensions only below its threshold,
     lets filters and column lists reach the bill files, and derives nothing twice.
-    Without a shared folder the input stays lazy.
+    Without a shared folder it is refused: a lazy input would be derived again by
+    each of the branches that read it.  The copies go when the session's JVM ends.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         folder = shared_folder(spark)
-        built = build(spark, sf_dir)
         if folder is None:
-            _stored[key] = built
-        else:
-            source = re.sub(r"\W+", "_", sf_dir)
-            path = f"{folder}/standins/{key[0]}/{source}/{name}"
-            with small_methods(spark):
-                if part:
-                    write_by(built, path, part)
-                else:
-                    built.write.mode("overwrite").parquet(path)
-            _stored[key] = spark.read.schema(built.schema).parquet(path).select(*built.columns)
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        built = build(spark, sf_dir)
+        source = re.sub(r"\W+", "_", sf_dir)
+        own = ends_with_session(spark, f"{folder}/standins/{key[0]}")
+        path = f"{own}/{source}/{name}"
+        with small_methods(spark):
+            if part:
+                write_by(built, path, part)
+            else:
+                built.write.mode("overwrite").parquet(path)
+        _stored[key] = spark.read.schema(built.schema).parquet(path).select(*built.columns)
     return _stored[key]
 
 

@@ -251,3 +251,10 @@ def test_a_third_of_all_bills_under_one_key(spark, tables):
         cell[0] += r.net_overpayment
         cell[1] += r.total_customers
     assert got == want
+
+
+def test_standins_refuse_a_session_without_a_shared_folder(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(standins, "shared_folder", lambda s: None)
+    monkeypatch.setattr(standins, "_stored", {})
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        standins.inputs(spark, sf_dir).bills

@@ -54,8 +54,8 @@ def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, for small derived tables.
 
     It is ``spark.checkpoint.dir`` where that is set.  A local session without
-    the setting gets a temporary folder; a cluster without it gets None, and
-    callers then keep the derived table lazy.
+    the setting gets a temporary folder; a cluster without it gets None, which
+    callers refuse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -67,3 +67,12 @@ def shared_folder(spark: SparkSession) -> str | None:
         _local_scratch[app] = tempfile.TemporaryDirectory(prefix="voltledger-")
         atexit.register(_local_scratch[app].cleanup)
     return _local_scratch[app].name
+
+
+def ends_with_session(spark: SparkSession, folder: str) -> str:
+    """``folder``, made if missing and removed when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)  # of a folder that isn't there it takes no note
+    return folder
