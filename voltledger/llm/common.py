@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltledger.session import shared_folder
+from voltledger.session import ends_with_session, shared_folder
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +24,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     top = shared_folder(spark)
     if top is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    own = ends_with_session(spark, f"{top}/corpus-{spark.sparkContext.applicationId}")
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
