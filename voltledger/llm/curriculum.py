@@ -139,25 +139,26 @@ def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
     Adds ``position`` (time in [0, 1]) and ``copy`` (from 0); a column of ``docs``
     with such a name keeps it, and the added one gets an underscore.
     """
-    k1, k2, position, copy, nth, order, p1, p2, of, p, pn = fresh(
-        docs, "k1", "k2", "position", "copy", "nth", "row_hash", "p1", "p2", "of", "p", "pn"
+    k1, k2, position, copy, nth, order, p1, p2, p, pn = fresh(
+        docs, "k1", "k2", "position", "copy", "nth", "row_hash", "p1", "p2", "p", "pn"
     )
     a, b = row_keys(docs)
     # Rows of a source with equal keys are numbered on both sides, so that each gets the copies of one.
-    one = Window.partitionBy(k1, k2, "source").orderBy(order)
-    mine = docs.withColumns({k1: a, k2: b, order: F.xxhash64(*[docs[c] for c in docs.columns])})
-    mine = mine.withColumn(nth, F.row_number().over(one))
-    alike = Window.partitionBy("k1", "k2", "source").orderBy(F.desc("copies"), "positions")
+    # The source goes into the second key, so that numbers and join need the same columns.
+    one = Window.partitionBy(k1, k2).orderBy(order)
+    mine = docs.withColumns(
+        {
+            k1: a,
+            k2: F.xxhash64(b, docs["source"].cast("string")),
+            order: F.xxhash64(*[docs[c] for c in docs.columns]),
+        }
+    ).withColumn(nth, F.row_number().over(one))
     times = plan(docs, most).select(
-        F.col("k1").alias(p1), F.col("k2").alias(p2), F.col("source").alias(of),
-        F.col("positions").alias(p), F.row_number().over(alike).alias(pn),
+        F.col("k1").alias(p1), F.xxhash64("k2", "source").alias(p2),
+        F.col("positions").alias(p), "copies",
     )
-    joined = mine.join(
-        times,
-        (F.col(k1) == F.col(p1))
-        & (F.col(k2) == F.col(p2))
-        & F.col("source").cast("string").eqNullSafe(F.col(of))
-        & (F.col(nth) == F.col(pn)),
-    )
+    alike = Window.partitionBy(p1, p2).orderBy(F.desc("copies"), p)
+    times = times.withColumn(pn, F.row_number().over(alike)).drop("copies")
+    joined = mine.join(times, (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2)) & (F.col(nth) == F.col(pn)))
     copies = joined.select(*docs.columns, F.posexplode(p).alias(copy, position))
     return copies.repartitionByRange(F.col(position)).sortWithinPartitions(position)
