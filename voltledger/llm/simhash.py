@@ -29,16 +29,27 @@ from .common import fresh, row_keys, stored
 BITS = 64
 
 
-def simhash(data: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint of UTF-8 text; 0 for a text without words or None."""
+def shingles(data: bytes | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's word shingles in order; a shorter text is one shingle, none without words."""
     words = data.lower().split() if data else []
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     if len(words) < shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], dtype="<u8")
+    return np.array([xxhash.xxh64_intdigest(p, seed) for p in parts], dtype="<u8")
+
+
+def simhash(data: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint of UTF-8 text; 0 for a text without words or None."""
+    return majority(shingles(data, shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed long of the bits that most hashes have; 0 without hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 65536):
         block = hashes[start : start + 65536].view(np.uint8).reshape(-1, 8)
@@ -208,7 +219,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, segments: int
     The row with the smallest id stays, nulls last; among equal ids the one whose
     text hash is smallest, and of fully equal rows one.
     """
-    found = near_duplicates(docs, shingle, distance, segments)
+    return one_of_each(docs, near_duplicates(docs, shingle, distance, segments))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which ``found`` (doc_id, root, k1, k2) puts no better row in their component."""
     stay = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "k1", "k2")).alias("m"))
     stay = stay.select(F.col("m.k1").alias("s1"), F.col("m.k2").alias("s2"))
     k1, k2, nth, order = fresh(docs, "k1", "k2", "nth", "row_hash")
