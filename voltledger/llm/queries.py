@@ -22,7 +22,7 @@ from .common import table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.classify(table(spark, sf_dir, "documents"))
+    return weak_labels.classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

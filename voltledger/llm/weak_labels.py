@@ -5,7 +5,8 @@ accurate each is, is estimated by expectation maximisation over all texts: votes
 are counted by pattern (3 ** labellers at most), so the estimation sees every row
 and costs the same at any size. The posteriors label a sample of at most
 ``SAMPLE`` texts, on which a linear scorer over hashed words and word shapes is
-fitted; it then scores every text. A short list of insults marks toxic texts.
+fitted; it then scores every text. A scorer learned from labels, where there are any
+(``toxicity``), and a short list of English insults mark toxic texts.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import row_keys, stored
 
 BUCKETS = 1 << 16
 SAMPLE = 4096  # texts that the scorer is fitted on
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = ("length", "symbols", "capitals", "variety", "shouting", "function_words", "word_length", "runs", "insults")
+LABELLERS = ("length", "symbols", "capitals", "variety", "shouting", "function_words", "word_length", "runs", "insults", "toxicity")
 #: Everyday function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     b"the and of to a in is it that for on with as be by this are was from or an at not der die das und ist den von zu "
@@ -40,8 +42,8 @@ _LOWER = bytes(range(97, 123))
 _EDGES = b".,;:!?\"'()[]#*$%&|<>"
 
 
-def votes(text: bytes) -> tuple[list[int], int]:
-    """A vote of every labeller, and the insults found."""
+def votes(text: bytes, scorer: toxicity.Scorer | None = None) -> tuple[list[int], int]:
+    """A vote of every labeller, and the insults found. Without a scorer the last one says nothing."""
     lower = text.lower().split()
     n = len(lower)
     if not n:
@@ -67,6 +69,7 @@ def votes(text: bytes) -> tuple[list[int], int]:
         between(size / n, 9.0, 14.0) if size / n >= 3 else BAD,
         between(sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / n, 0.03, 0.15),
         BAD if insults >= TOXIC else NONE,
+        BAD if scorer is not None and scorer.toxic(text) else NONE,
     ], insults
 
 
@@ -127,12 +130,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 200) ->
     return weights, bias
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def classify(
+    docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, labels: DataFrame | None = None
+) -> DataFrame:
     """Per row of ``docs``: doc_id, posterior, score, insults, toxic, kept.
 
     posterior: of the labellers alone; score: of the fitted scorer, 0 to 1. A row
     is kept if both say good on average and it isn't toxic. Null and empty texts have no words
-    and aren't kept.
+    and aren't kept. ``labels`` (doc_id, toxic) teach toxicity; insults count without them.
     """
     k1, k2 = row_keys(docs)
     spark = docs.sparkSession
@@ -142,9 +147,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
         docs["text"].cast("string").cast("binary").alias("text"),
     )
 
+    learned = spark.sparkContext.broadcast(toxicity.learn(docs, labels) if labels is not None else None)
+
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [votes(t or b"") for t in batch.text]
+            out = [votes(t or b"", learned.value) for t in batch.text]
             code = [sum(v * 3**i for i, v in enumerate(vs)) for vs, _ in out]
             yield pd.DataFrame({"draw": batch.draw, "code": code})
 
@@ -162,7 +169,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
                 words = (text or b"").split()
                 of = np.array([b for w in words for b in features(w)], np.int64)
                 bucket, times = np.unique(of, return_counts=True)
-                code = sum(v * 3**i for i, v in enumerate(votes(text or b"")[0]))
+                code = sum(v * 3**i for i, v in enumerate(votes(text or b"", learned.value)[0]))
                 share = times / max(1, len(words))
                 out.append((bucket.astype("<i4").tobytes(), share.astype("<f4").tobytes(), sent.value[code]))
             yield pd.DataFrame(out, columns=["bucket", "share", "y"])
@@ -190,24 +197,24 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
                         a, b = features(w)
                         x = memo[w] = weights[a] + weights[b]
                     total += x
-                vs, insults = votes(text or b"")
+                vs, insults = votes(text or b"", learned.value)
                 own = sent.value[sum(v * 3**i for i, v in enumerate(vs))]
                 z = total / max(1, len(words)) + bias
-                out.append((doc_id, own, float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))) if words else 0.0, insults, len(words)))
-            frame = pd.DataFrame(out, columns=["doc_id", "posterior", "score", "insults", "n_words"])
+                out.append((doc_id, own, float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))) if words else 0.0, insults, vs[-1] == BAD or insults >= TOXIC, len(words)))
+            frame = pd.DataFrame(out, columns=["doc_id", "posterior", "score", "insults", "toxic", "n_words"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     scored = rows.select("doc_id", "text").mapInPandas(
-        score, "doc_id long, posterior double, score double, insults long, n_words long"
+        score, "doc_id long, posterior double, score double, insults long, toxic boolean, n_words long"
     )
     return scored.select(
         "doc_id",
         F.round("posterior", 6).alias("posterior"),
         F.round("score", 6).alias("score"),
         "insults",
-        (F.col("insults") >= TOXIC).alias("toxic"),
+        "toxic",
         (
-            (F.col("n_words") > 0) & (F.col("posterior") + F.col("score") >= 2 * threshold) & (F.col("insults") < TOXIC)
+            (F.col("n_words") > 0) & (F.col("posterior") + F.col("score") >= 2 * threshold) & ~F.col("toxic")
         ).alias("kept"),
     )
