@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltledger.llm import curriculum, decontaminate, near_copies, robust_rules, substring
+from voltledger.llm import curriculum, decontaminate, robust_rules, simhash, substring
 from voltledger.llm.common import stored, table
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingles are similar by 0.8 or more stays."""
-    return near_copies.keep_one(docs)
+    """One document stays of each group whose fingerprints of 4-word shingles link within 4 bits."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
