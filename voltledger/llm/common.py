@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltledger.session import ends_with_session, shared_folder
@@ -36,6 +36,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[Column], number: str) -> DataFrame:
+    """``df``, a stored table, with a dense ``number`` from 0 in the order of ``by``.
+
+    Range partitions are sorted and counted; each row's number is its place in its partition
+    after the rows of the partitions before. ``by`` must tell rows apart.
+    """
+    part, place, ahead = fresh(df, "part", "place", "ahead")
+    at = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(
+        {part: F.shiftright(at, 33), place: at.bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    placed = stored(placed, "placed")
+    # One row per partition.
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).count().select(part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(ahead))
+    return placed.join(F.broadcast(starts), part).withColumn(number, F.col(ahead) + F.col(place)).drop(part, place, ahead)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have, made from the given ones."""
     have = {c.lower() for c in df.columns}
