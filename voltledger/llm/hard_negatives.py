@@ -155,7 +155,7 @@ def _codes(cells: pd.Series, codes: int, words: int) -> Codes:
 
 
 def coded(vectors: DataFrame, anchor: Column, vector: str = "embedding", scale: int = 256) -> tuple[DataFrame, int]:
-    """The rows that take part, stored with their codes (row, vec_id, label, anchor, ints, code), and their width.
+    """The rows that take part, stored with their codes (row, vec_id, no_id, label, anchor, ints, code), and their width.
 
     A row without a label or vector, or with a null or non-finite component, takes no
     part. Shorter vectors are filled up with zeros.
@@ -163,7 +163,8 @@ def coded(vectors: DataFrame, anchor: Column, vector: str = "embedding", scale:
     x = vectors[vector].cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.where(vectors["label"].isNotNull() & x.isNotNull() & sound).select(
-        vectors["vec_id"].cast("long").alias("vec_id"),
+        F.coalesce(vectors["vec_id"].cast("long"), F.lit(0)).alias("vec_id"),
+        vectors["vec_id"].isNull().alias("no_id"),
         vectors["label"].cast("long").alias("label"),
         F.coalesce(anchor, F.lit(False)).alias("anchor"),
         x.alias("x"),
@@ -186,7 +187,7 @@ def coded(vectors: DataFrame, anchor: Column, vector: str = "embedding", scale:
             batch["code"] = [b.tobytes() + f.tobytes() for b, f in zip(code.bits, floats, strict=True)]
             yield batch
 
-    done = rows.mapInPandas(step, "vec_id long, label long, anchor boolean, ints binary, code binary")
+    done = rows.mapInPandas(step, "vec_id long, no_id boolean, label long, anchor boolean, ints binary, code binary")
     return stored(done.withColumn("row", F.monotonically_increasing_id()), "codes"), dims
 
 
@@ -222,7 +223,7 @@ def positives(rows: DataFrame, dims: int, most: int = 5) -> DataFrame:
             best = Best(most, np.full(len(row), -MOST_SCORE - 1, np.int64))
             for batch in batches:
                 x, code = _ints(batch.ints, dims), _codes(batch.code, ROW_CODES, words)
-                ident, no_id = batch.vec_id.fillna(0).to_numpy(np.int64), batch.vec_id.isna().to_numpy()
+                ident, no_id = batch.vec_id.to_numpy(), batch.no_id.to_numpy()
                 own, of = batch.row.to_numpy(), batch.label.to_numpy()
                 for name in np.intersect1d(of, label):
                     mine, theirs = np.flatnonzero(label == name), np.flatnonzero(of == name)
@@ -237,7 +238,7 @@ def positives(rows: DataFrame, dims: int, most: int = 5) -> DataFrame:
                         best.settle()
             yield _frame(row, best, "row", "positive_id", "positive_score")
 
-        tasks = rows.select("row", "vec_id", "label", "ints", "code")
+        tasks = rows.select("row", "vec_id", "no_id", "label", "ints", "code")
         found.append(stored(tasks.mapInPandas(step, "row long, positive_id long, positive_score long"), "positives"))
         sent.destroy()
     if not found:
@@ -282,7 +283,7 @@ def mine(
     per_anchor = pairs.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("pairs")
     )  # n_positives at most each
-    anchors = stored(rows.where("anchor").select("row", "vec_id", "label", "ints").join(per_anchor, "row"), "anchors")
+    anchors = stored(rows.where("anchor").select("row", "vec_id", "no_id", "label", "ints").join(per_anchor, "row"), "anchors")
     found = []
     for block in _blocks(anchors, dims):
         a = block.toPandas()
@@ -290,7 +291,7 @@ def mine(
             continue
         # One list per anchor and positive: who it belongs to, and 100 times the scores it takes.
         lists = [
-            (i, r.vec_id, p.place, p.positive_id, p.positive_score)
+            (i, None if r.no_id else r.vec_id, p.place, p.positive_id, p.positive_score)
             for i, r in enumerate(a.itertuples(index=False))
             for p in r.pairs
         ]
@@ -311,7 +312,7 @@ def mine(
             top = np.maximum.reduceat(most, start)
             for batch in batches:
                 x, code = _ints(batch.ints, dims), _codes(batch.code, ROW_CODES, words)
-                ident, no_id = batch.vec_id.fillna(0).to_numpy(np.int64), batch.vec_id.isna().to_numpy()
+                ident, no_id = batch.vec_id.to_numpy(), batch.no_id.to_numpy()
                 of = batch.label.to_numpy()
                 for tile in _tiles(len(of)):
                     j = np.arange(len(of))[tile]
@@ -338,7 +339,7 @@ def mine(
             "anchor_id long, place int, positive_id long, positive_score long, row long, "
             "negative_id long, negative_score long"
         )
-        tasks = rows.select("vec_id", "label", "ints", "code")
+        tasks = rows.select("vec_id", "no_id", "label", "ints", "code")
         found.append(stored(tasks.mapInPandas(step, schema), "negatives"))
         sent.destroy()
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"

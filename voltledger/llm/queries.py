@@ -14,6 +14,7 @@ from . import (
     hmm,
     html_density,
     license_scan,
+    packing,
     prefix_trie,
     robust_rules,
     simhash,
@@ -82,6 +83,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     seventh = F.col("vec_id") % 7 == 0
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash,
         op10_mixing,
         op11_prefix_trie,
+        op12_retrieval_packing,
         op13_hard_negatives,
     )
 }
