@@ -496,8 +496,23 @@ def _audit(table: str) -> str:
         FROM {table} GROUP BY supplier"""
 
 
+_STARTS = [s.name for s in S.BILL_SPECS if s.commencement != "none"]
+_CHARGES = [s.name for s in S.BILL_SPECS if s.charge != "none"]
+
 QUERIES = {
     "conform_bills": f"SELECT {_BILL} FROM bills",
+    "load_rejects": f"""
+        SELECT 'bills' AS load, bad AS load_errors, count(*) AS count FROM (
+            SELECT CASE WHEN mark = {S.SPOILT['charge'][0]} AND {_who(_CHARGES)} THEN 'year_charge'
+                        WHEN mark = {S.SPOILT['commencement'][0]} AND {_who(_STARTS)} THEN 'year_commencement'
+                        WHEN mark = {S.SPOILT['kwh'][0]} THEN 'totalkwh' END AS bad
+            FROM lines)
+        WHERE bad IS NOT NULL GROUP BY bad
+        UNION ALL SELECT 'green', 'num_customers', count(*) FROM lines
+        WHERE flag = 'R' AND n = 7 AND mark <> 86 HAVING count(*) > 0
+        UNION ALL SELECT 'rate_sheet', 'eversource_rate', count(*) FROM (
+            SELECT DISTINCT year(l_shipdate), month(l_shipdate) FROM lineitem WHERE month(l_shipdate) % 5 = 0)
+        HAVING count(*) > 0""",
     "load_control_totals": _audit("bills"),
     "union_control_totals": _audit("q6"),
     "q6_all": f"SELECT {_BILL} FROM q6",

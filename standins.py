@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltledger import schemas
-from voltledger.operators import accepted, conform_amenities, conform_bills, conform_landed
+from voltledger.operators import accepted, conform_amenities, conform_bills, conform_landed, rejected, stack
 from voltledger.plans import Inputs
 from voltledger.session import ends_with_session, shared_folder, small_methods
 from voltledger.sources import (
@@ -38,7 +38,7 @@ from voltledger.sources import (
     write_by,
     zip_crosswalk,
 )
-from voltledger.sources.usage import PARTICIPATION_COLUMNS
+from voltledger.sources.usage import PARTICIPATION_COLUMNS, load_green, load_rate_sheet
 
 YEAR_SHIFT = 20
 UNCOVERED_YEAR = "2014"
@@ -168,6 +168,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Marks of the lines whose cell is spoilt, and what stands there.
+SPOILT = {"charge": (80, "Total:"), "commencement": (81, "Total: x"), "kwh": (82, "1,5")}
+
+
 def _is(names) -> Column:
     keys = list(SUPPLIERS)
     return F.col("who").isin(*[keys.index(n) for n in names])
@@ -262,8 +266,11 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bill lines as every supplier's extract would write them."""
+def landed_bills(spark: SparkSession, sf_dir: str, spoilt: bool = False) -> DataFrame:
+    """The same bill lines as every supplier's extract would write them.
+
+    ``spoilt`` puts a text that can't be read into a charge month, a commencement or the kWh of some lines.
+    """
     names = list(SUPPLIERS)
     by_style: dict[str, list[str]] = {}
     starts: dict[str, list[str]] = {}
@@ -298,17 +305,25 @@ def landed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = F.col("months").cast("string")
     fee = (F.col("n") % 4 * 50).cast("string")
     ended = F.when(F.col("n") == 7, "1").otherwise("0")
+
+    def cell(name: str, text: Column) -> Column:
+        if spoilt and name in SPOILT:
+            mark, bad = SPOILT[name]
+            text = F.when(F.col("mark") == mark, F.lit(bad)).otherwise(text)
+        return text.alias(name)
+
     return _lines(spark, sf_dir).select(
         _pick(F.col("who"), names).alias("extract"),
         _pick(F.col("who"), SUPPLIERS.values()).alias("supplier"),
-        written(by_style, F.col("y"), F.col("m")).alias("charge"),
+        cell("charge", written(by_style, F.col("y"), F.col("m"))),
         _rate().cast("string").alias("rate"),
         F.when(_is(WHOLE_ZIP), F.rpad(zipcode, 7, " ")).otherwise(short).alias("zip"),
         _customers().cast("string").alias("customers"),
-        _kwh().cast("string").alias("kwh"),
-        F.when(
-            marked & _is(COMMENCEMENT_MARKS), mark_of(COMMENCEMENT_MARKS)
-        ).otherwise(start).alias("commencement"),
+        cell("kwh", _kwh().cast("string")),
+        cell(
+            "commencement",
+            F.when(marked & _is(COMMENCEMENT_MARKS), mark_of(COMMENCEMENT_MARKS)).otherwise(start),
+        ),
         F.when(marked, mark_of(TERM_MARKS))
         .when(_is(("think",)), F.concat(months, F.lit(" Months")))
         .otherwise(months)
@@ -326,10 +341,28 @@ def conformed_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform_landed(landed, BILL_SPECS, conform_bills)
 
 
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows by load and unfit columns, where some bills, rates and green lines can't be read."""
+    landed = _store(spark, sf_dir, "spoilt_bills", lambda s, d: landed_bills(s, d, spoilt=True), part="extract")
+    no_rate = F.when(F.col("month") % 5 == 0, "n/a").otherwise(F.col("eversource_rate").cast("string"))
+    no_count = F.when(F.col("num_customers") == 7, "n/a").otherwise(F.col("num_customers").cast("string"))
+    loads = {
+        "bills": conform_landed(landed, BILL_SPECS, conform_bills),
+        "rate_sheet": load_rate_sheet(raw_rates(spark, sf_dir).withColumn("eversource_rate", no_rate)),
+        "green": load_green(raw_green(spark, sf_dir).withColumn("num_customers", no_count)),
+    }
+    bad = [rejected(df).select(F.lit(name).alias("load"), "load_errors") for name, df in loads.items()]
+    return stack(bad).groupBy("load", "load_errors").agg(F.count("*").alias("count"))
+
+
 def green(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on a green choice; raw, so postal codes play no part."""
+    return green_usage(raw_green(spark, sf_dir))
+
+
+def raw_green(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir).filter(F.col("flag") == "R")
-    return green_usage(
+    return (
         lines.select(
             _pick(F.col("who"), SUPPLIERS.values()).alias("supplier"),
             F.col("y").cast("string").alias("year_charge"),

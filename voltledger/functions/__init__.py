@@ -8,6 +8,7 @@ from voltledger.functions.semantics import (
     scaled_sum,
     strict_sum,
     whole,
+    whole_or_null,
 )
 from voltledger.functions.text import (
     excel_date,
@@ -36,6 +37,7 @@ __all__ = [
     "strict_sum",
     "thousands",
     "whole",
+    "whole_or_null",
     "year_month",
     "zip_text",
 ]

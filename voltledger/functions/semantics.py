@@ -89,6 +89,11 @@ def int_or_null(text: Column | str) -> Column:
     return _col(text).try_cast("double").try_cast("int")
 
 
+def whole_or_null(text: Column | str) -> Column:
+    """``12`` and ``12.0`` as 12; NULL for a text with a fraction and for one that is no number."""
+    return F.regexp_replace(_col(text), "[.]0*$", "").try_cast("int")
+
+
 def any_of(*predicates: Column) -> Column:
     out = predicates[0]
     for p in predicates[1:]:

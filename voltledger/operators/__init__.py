@@ -4,7 +4,9 @@ from voltledger.operators.bands import (
     bands,
     below_above,
     exceed_counts,
+    exceed_totals,
     pivot_mean,
+    threshold_cells,
 )
 from voltledger.operators.cleanse import (
     clamp_negative,
@@ -49,6 +51,7 @@ __all__ = [
     "correct",
     "drop_where",
     "exceed_counts",
+    "exceed_totals",
     "keep_in",
     "kwh",
     "land",
@@ -63,6 +66,7 @@ __all__ = [
     "split",
     "stack",
     "standard_rates",
+    "threshold_cells",
     "top_bottom",
     "weighted_avg",
     "with_total",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,30 @@ def exceed_counts(
     return _rows_of(wide, [], label, rows)
 
 
+def threshold_cells(
+    df: DataFrame, keys: Sequence[str], column: str, thresholds: Sequence[float | str], weight: str
+) -> DataFrame:
+    """Sums of ``weight`` by keys and ``exceeded``, the number of the rising ``thresholds`` a row exceeds.
+
+    A row without a value exceeds none. Cells add up, as rows do.
+    """
+    limits = [F.lit(str(t)).cast("decimal(18,6)") for t in thresholds]
+    over = [F.coalesce((F.col(column) > limit).cast("int"), F.lit(0)) for limit in limits]
+    exceeded = reduce(add, over)
+    return df.groupBy(*keys, exceeded.alias("exceeded")).agg(F.sum(weight).alias(weight))
+
+
+def exceed_totals(cells: DataFrame, labels: Sequence[str], weight: str, label: str, total: str) -> DataFrame:
+    """``exceed_counts`` from ``threshold_cells``; labels of the rising thresholds, the highest one's row first.
+
+    What exceeds a threshold is all that exceeds as many or more, so totals are sums over the upper cells.
+    """
+    sums = [F.sum(F.when(F.col("exceeded") > i, F.col(weight))).alias(f"_t{i}") for i in range(len(labels))]
+    wide = cells.agg(*sums)
+    rows = {name: {total: F.col(f"_t{i}")} for i, name in reversed(list(enumerate(labels)))}
+    return _rows_of(wide, [], label, rows)
+
+
 def below_above(
     df: DataFrame,
     column: str,

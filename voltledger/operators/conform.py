@@ -151,7 +151,12 @@ _IS_BLANK = "{c} IN (" + ", ".join(_literal(b) for b in BLANKS) + ")"
 _IS_MARK = "{c} IN (" + ", ".join(_literal(b) for b in BLANKS if b) + ")"
 
 
-_IS_MONTH = "charge.year RLIKE '^[0-9]{4}$' AND charge.month RLIKE '^(0[1-9]|1[0-2])$'"
+_IS_MONTH = "{c}.year RLIKE '^[0-9]{{4}}$' AND {c}.month RLIKE '^(0[1-9]|1[0-2])$'"
+
+
+def _month_part(c: str, part: str) -> str:
+    """Year or month of a date cell; NULL unless it is a month of four-digit year, never a year of its own."""
+    return f"IF({_IS_MONTH.format(c=c)}, {c}.{part}, NULL)"
 
 
 def _whole_number(name: str) -> str:
@@ -198,23 +203,26 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
         F.when(~marked, _month_of(spec.commencement, started)).alias("start"),
         marked.alias("start_marked"),
         F.col("charge").alias("charge_text"),
+        F.when(~marked, started).alias("start_text"),
     )
 
     def number(name: str) -> str:
         return _leading_number(name) if name in spec.loose else _whole_number(name)
 
-    start = "IF(start_marked, charge, start)" if spec.blank_commencement_is_charge else "start"
+    def start(part: str) -> str:
+        own = _month_part("start", part)
+        return f"IF(start_marked, {_month_part('charge', part)}, {own})" if spec.blank_commencement_is_charge else own
+
     typed = {
         "supplier": "supplier",
-        # A charge month that can't be read is a load error, never a year of its own.
-        "year_charge": f"IF({_IS_MONTH}, charge.year, NULL)",
-        "month_charge": f"IF({_IS_MONTH}, charge.month, NULL)",
+        "year_charge": _month_part("charge", "year"),
+        "month_charge": _month_part("charge", "month"),
         "billed_rate": f"try_cast(try_cast(rate AS DECIMAL(38,18)) AS {schemas.RATE})",
         "zipcode": "zip",
         "num_customers": _whole_number("customers"),
         "totalkwh": f"try_cast(try_cast(kwh AS DECIMAL(38,18)) AS {schemas.KWH})",
-        "year_commencement": f"{start}.year" if start == "start" else f"({start}).year",
-        "month_commencement": f"{start}.month" if start == "start" else f"({start}).month",
+        "year_commencement": start("year"),
+        "month_commencement": start("month"),
         "contractterm": number("term"),
         "servicechargesfees": _whole_number("service_fee"),
         "term_fee": number("term_fee"),
@@ -224,6 +232,7 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
     # Texts that have to fit, by target column; a loose one may be anything.
     texts = {
         "year_charge": "nullif(charge_text, '')",
+        "year_commencement": "start_text",
         "billed_rate": "rate",
         "num_customers": "customers",
         "totalkwh": "kwh",
@@ -233,8 +242,9 @@ def conform_bills(landed: DataFrame, spec: BillSpec) -> DataFrame:
         "num_terminations": "terminations",
     }
     texts = {target: raw for target, raw in texts.items() if raw not in spec.loose}
-    if spec.charge == "none":
-        del texts["year_charge"]
+    for target, style in (("year_charge", spec.charge), ("year_commencement", spec.commencement)):
+        if style == "none":
+            del texts[target]
     return _checked(cells, typed, texts, schemas.BILLS, schemas.BILL_WIDTHS)
 
 

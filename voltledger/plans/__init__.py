@@ -1,6 +1,18 @@
-from voltledger.plans.ingest import ingest
+from voltledger.plans.ingest import ingest, load_rejects, stored_inputs
 from voltledger.plans.inputs import Inputs
 from voltledger.plans.products import PRODUCTS
-from voltledger.plans.publish import ordered, publish, store_layers
+from voltledger.plans.publish import ordered, product, publish, published, reads, store_layers
 
-__all__ = ["PRODUCTS", "Inputs", "ingest", "ordered", "publish", "store_layers"]
+__all__ = [
+    "PRODUCTS",
+    "Inputs",
+    "ingest",
+    "load_rejects",
+    "ordered",
+    "product",
+    "publish",
+    "published",
+    "reads",
+    "store_layers",
+    "stored_inputs",
+]

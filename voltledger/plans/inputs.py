@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from voltledger.operators import clean_bills, compare_rates
+from voltledger.operators import clean_bills, compare_rates, threshold_cells
 
 CONFORMED = (
     "bills",
@@ -21,18 +21,26 @@ CONFORMED = (
     "population",
 )
 # Derived from the bills unless given as stored tables.
-DERIVED = ("cleaned", "comparison", "cells", "terms")
+DERIVED = ("cleaned", "comparison", "cells", "terms", "premiums")
 
 # Keys of the two additive layers.
 CELL_KEYS = ("supplier", "edc", "zipcode", "year_charge", "year_half")
 TERM_KEYS = ("edc", "month_commencement", "contractterm")
 
+# Premiums in dollars per kWh above which bills are counted, rising.
+PREMIUM_STEPS = ("0.02", "0.05", "0.10", "0.15")
+
+
+def premium_cells(comparison: DataFrame) -> DataFrame:
+    """Customers by year and number of premium steps that their bills exceed."""
+    return threshold_cells(comparison, ["year_charge"], "rate_difference", PREMIUM_STEPS, "num_customers")
+
 
 class Inputs:
     """Conformed inputs by name, each a DataFrame or a function giving one.
 
     A function is called when a product first needs its table.  ``cleaned``,
-    ``comparison``, ``cells`` and ``terms`` are derived from the bills unless they
+    ``comparison``, ``cells``, ``terms`` and ``premiums`` are derived from the bills unless they
     are given, as stored tables, under those names.
     """
 
@@ -78,6 +86,11 @@ class Inputs:
         """The same by ``TERM_KEYS``."""
         return self._table("terms") if "terms" in self._tables else self.comparison
 
+    @property
+    def premiums(self) -> DataFrame:
+        """Customers by year and premium step."""
+        return self._table("premiums") if "premiums" in self._tables else premium_cells(self.comparison)
+
     def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Inputs:
         """The same inputs with some tables exchanged."""
         return Inputs(**{**self._tables, **tables})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltledger.functions import ratio
 from voltledger.operators import (
-    exceed_counts,
+    exceed_totals,
     kwh,
     net,
     per_unit_split,
@@ -15,15 +15,9 @@ from voltledger.operators import (
     premium,
     split,
 )
-from voltledger.plans.inputs import Inputs
-
-# Premiums per kWh reported, and the contract bands in months.
-PREMIUMS = {
-    "greater than $0.15 per kWh": "0.15",
-    "greater than $0.10 per kWh": "0.10",
-    "greater than $0.05 per kWh": "0.05",
-    "greater than $0.02 per kWh": "0.02",
-}
+from voltledger.plans.inputs import PREMIUM_STEPS, Inputs
+
+# The contract bands in months.
 SHORTEST_TERM, LONGEST_TERM = 12, 36
 
 
@@ -68,10 +62,10 @@ def overpayment_by_half_year(t: Inputs) -> DataFrame:
 
 
 def premium_distribution(t: Inputs, year: str = "2021") -> DataFrame:
-    return exceed_counts(
-        t.comparison.filter(F.col("year_charge") == year),
-        "rate_difference",
-        PREMIUMS,
+    """Customers with bills above each premium, from the cells of one year."""
+    return exceed_totals(
+        t.premiums.filter(F.col("year_charge") == year),
+        [f"greater than ${step} per kWh" for step in PREMIUM_STEPS],
         weight="num_customers",
         label="premium",
         total="bills_rendered",

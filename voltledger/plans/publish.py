@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltledger.operators import additive, clean_bills, compare_rates
-from voltledger.plans.inputs import CELL_KEYS, TERM_KEYS, Inputs
+from voltledger.plans.inputs import CELL_KEYS, DERIVED, TERM_KEYS, Inputs, premium_cells
 from voltledger.plans.products import PRODUCTS
-from voltledger.sources import write_by_year, write_report
+from voltledger.sources import commit, committed, entry, read_entry, write_by_year, write_report
 
 # Row order of the reports that have one; a minus sign is descending.
 REPORT_ORDER = {
@@ -56,39 +57,107 @@ def _order(key: str) -> Column:
 
 
 def ordered(name: str, df: DataFrame) -> DataFrame:
-    """A product in its report order; only aggregated results are sorted."""
+    """A product in its report order; only aggregated results are sorted.
+
+    Rows that are equal in the report's keys come in the order of their other columns, so that the order
+    is one whatever the partitions. A range-partitioned sort: files in the order of their names, and
+    lines in them, have the report's order.
+    """
     keys = REPORT_ORDER.get(name)
-    return df.orderBy(*[_order(k) for k in keys]) if keys else df
+    if not keys:
+        return df
+    named = {k.lstrip("-") for k in keys}
+    return df.orderBy(*[_order(k) for k in keys], *[_order(c) for c in df.columns if c not in named])
+
+
+class _Watched(Inputs):
+    """Inputs that note which of them are asked for."""
+
+    def __init__(self, tables: Inputs) -> None:
+        super().__init__(**tables.__dict__["_tables"])
+        self.asked: set[str] = set()
+
+    def _table(self, name: str) -> DataFrame:
+        self.asked.add(name)
+        return super()._table(name)
+
+
+def reads(product: Callable[[Inputs], DataFrame], t: Inputs) -> set[str]:
+    """The inputs and layers that a product reads; nothing is run."""
+    watched = _Watched(t)
+    product(watched)
+    return watched.asked
+
+
+# What changes with the bills of a year.
+OF_BILLS = frozenset({"bills", *DERIVED})
 
 
-def store_layers(spark: SparkSession, t: Inputs, folder: str) -> Inputs:
-    """Cleansed bills, the rate comparison and its additive cells as tables.
+def _written(
+    spark: SparkSession, df: DataFrame, path: str, by: str | None = None, years: Sequence[str] | None = None, older: dict | None = None
+) -> dict:
+    """Write a table, or of one kept by year the given years, and return its entry for the commit."""
+    if by is None:
+        df.write.mode("overwrite").parquet(path)
+        return entry(df, path)
+    write_by_year(df.where(F.col(by).isin(list(years))) if years else df, path, by)
+    return entry(df, path, by, years, older)
+
+
+def store_layers(
+    spark: SparkSession, t: Inputs, folder: str, years: Sequence[str] | None = None, older: dict | None = None
+) -> tuple[Inputs, dict]:
+    """Cleansed bills, the rate comparison and its additive cells as tables; the inputs with them, and their entries.
 
     The bills are read and joined once here, and the comparison is added up once by
-    ``CELL_KEYS`` and once by ``TERM_KEYS``. The products aggregate those cells, whose
-    number is bounded by the keys; only ``premium_distribution`` reads bills again, one
-    year of them.
+    ``CELL_KEYS``, once by ``TERM_KEYS`` and once by year and premium step. The products aggregate those
+    cells, whose number is bounded by the keys, and read no bills of the comparison. With ``years``
+    only those years are read, joined and written anew; the others stay where ``older`` has them.
     """
+    entries: dict[str, dict] = {}
 
-    def stored(df: DataFrame, name: str, by_year: bool = True) -> DataFrame:
-        path = f"{folder}/{name}"
-        if by_year:
-            write_by_year(df, path)
-        else:
-            df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    def stored(df: DataFrame, name: str, by: str | None = "year_charge") -> DataFrame:
+        entries[name] = _written(spark, df, f"{folder}/{name}", by, years, (older or {}).get(name))
+        return read_entry(spark, entries[name])
 
     cleaned = stored(clean_bills(t.bills), "cleaned_bills")
     comparison = stored(compare_rates(cleaned, t.rate_sheet), "rate_comparison")
     cells = stored(additive(comparison, CELL_KEYS), "cells")
-    terms = stored(additive(comparison, TERM_KEYS), "terms", by_year=False)
-    return t.replaced(cleaned=cleaned, comparison=comparison, cells=cells, terms=terms)
+    premiums = stored(premium_cells(comparison), "premiums")
+    terms = stored(additive(comparison, TERM_KEYS), "terms", by=None)
+    return t.replaced(cleaned=cleaned, comparison=comparison, cells=cells, terms=terms, premiums=premiums), entries
+
+
+def published(spark: SparkSession, folder: str) -> dict | None:
+    """The newest version committed to ``folder``: number, layers, products and reports."""
+    versions = committed(spark, f"{folder}/versions")
+    return versions[max(versions)] if versions else None
+
+
+def product(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A product or layer as of the newest version."""
+    version = published(spark, folder)
+    if version is None:
+        raise ValueError(f"{folder}: nothing was published")
+    return read_entry(spark, {**version["layers"], **version["products"]}[name])
 
 
 def publish(
-    spark: SparkSession, t: Inputs, folder: str, products: Iterable[str] | None = None
+    spark: SparkSession,
+    t: Inputs,
+    folder: str,
+    products: Iterable[str] | None = None,
+    years: Sequence[str] | None = None,
 ) -> Inputs:
-    """Write the layers, then each product as a table and as a CSV report.
+    """Write the layers, then each product as a table and as a CSV report, as one version.
+
+    Everything goes to folders of its own, and the version counts once it is committed at the end: until then, and
+    if anything fails, readers (``published``, ``product``) see the version before, whole. Of two that are
+    published at once the second fails.
+
+    With ``years`` only the bills of those years have changed since the last version. Layers and products
+    that are kept by year get new files for those years alone; products that read no bills, and those not
+    asked for, stay as they are. Which products read bills is found from the products (``reads``).
 
     The cleansed bills and the comparison are their layers' tables and not written
     again; the comparison is also delivered as ``;`` text, in as many files as its
@@ -96,19 +165,30 @@ def publish(
     """
     if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
         raise ValueError("publish needs spark.sql.ansi.enabled: sums would wrap on overflow")
-    layered = store_layers(spark, t, f"{folder}/layers")
+    last = published(spark, folder)
+    if years and last is None:
+        raise ValueError(f"{folder}: years can be published anew only where a version is")
+    number = last["number"] + 1 if last else 1
+    root = f"{folder}/data/{number:08d}-{uuid.uuid4().hex}"
+    layered, layers = store_layers(spark, t, f"{root}/layers", years, last and last["layers"])
+    tables = dict(last["products"]) if last else {}
+    reports = dict(last["reports"]) if last else {}
     for name in products or PRODUCTS:
+        if years and name in tables and not reads(PRODUCTS[name], layered) & OF_BILLS:
+            continue
         if name == "rate_comparison":
-            write_report(layered.comparison, f"{folder}/reports/{name}", sep=";")
+            write_report(layered.comparison, f"{root}/reports/{name}", sep=";")
+            reports[name] = f"{root}/reports/{name}"
         if name in STORED_LAYERS:
+            tables[name] = layers[STORED_LAYERS[name]]
             continue
         df = ordered(name, PRODUCTS[name](layered))
-        path = f"{folder}/products/{name}"
-        if name in BY_YEAR:
-            write_by_year(df, path, BY_YEAR[name])
-        else:
-            df.write.mode("overwrite").parquet(path)
+        by = BY_YEAR.get(name)
+        tables[name] = _written(spark, df, f"{root}/products/{name}", by, years if by else None, tables.get(name))
         if name not in LAYERS:
-            written = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-            write_report(ordered(name, written), f"{folder}/reports/{name}")
+            reports[name] = f"{root}/reports/{name}"
+            write_report(ordered(name, read_entry(spark, tables[name])), reports[name])
+    content = {"number": number, "layers": layers, "products": tables, "reports": reports}
+    if not commit(spark, f"{folder}/versions", f"{number:08d}", content):
+        raise RuntimeError(f"{folder}: version {number} was published by another run")
     return layered

@@ -9,9 +9,11 @@ from voltledger.sources.amenities import (
 from voltledger.sources.bills import BILL_SPECS, load_bills, union_bills
 from voltledger.sources.census import (
     acs_income,
+    load_crosswalk,
     low_english,
     minority_share,
     population,
+    unread,
     zip_crosswalk,
 )
 from voltledger.sources.readers import read_extract, read_positional, read_sheet
@@ -29,9 +31,11 @@ from voltledger.sources.usage import (
     green_usage,
     load_green,
     load_participation,
+    load_rate_sheet,
     participation_counts,
     rate_sheet,
 )
+from voltledger.sources.versions import commit, committed, entry, exists, read_entry
 
 __all__ = [
     "AMENITY_SPECS",
@@ -43,22 +47,30 @@ __all__ = [
     "append_table",
     "bill_audit",
     "clean_amenities",
+    "commit",
+    "committed",
+    "entry",
+    "exists",
     "green_usage",
     "load_amenities",
     "load_bills",
+    "load_crosswalk",
     "load_green",
     "load_participation",
+    "load_rate_sheet",
     "low_english",
     "minority_share",
     "overwrite_table",
     "participation_counts",
     "population",
     "rate_sheet",
+    "read_entry",
     "read_extract",
     "read_positional",
     "read_sheet",
     "union_amenities",
     "union_bills",
+    "unread",
     "write_by",
     "write_by_year",
     "write_load",

@@ -13,6 +13,23 @@ def _fit(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+# Marks of the census tables for an amount that is not published.
+MARKS = ("-", "250,000+", "2,500-", "(X)", "N", "**", "***")
+
+
+def unread(raw: DataFrame, sheet: str) -> DataFrame:
+    """(column, n): filled number cells of an area's row that become NULL without being a known mark.
+
+    ``raw`` is what the sheet's function takes. Such cells cost no row; they are counted at the load.
+    """
+    of, numbers = _NUMBERS[sheet]
+    rows = raw.filter(is_area(of(raw)))
+    bad = {raw.columns[i]: typed(F.col(raw.columns[i])).isNull() for i, typed in numbers.items()}
+    filled = {c: F.col(c).isNotNull() & (F.trim(c) != "") & ~F.trim(c).isin(*MARKS) for c in bad}
+    counts = rows.agg(*[F.count_if(b & filled[c]).alias(c) for c, b in bad.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in bad]))).where("n > 0")
+
+
 def area_code(name: Column | str) -> Column:
     """Five-digit census area inside ``ZCTA5 06001``."""
     return F.substring(name, 7, 5)
@@ -40,8 +57,18 @@ def acs_income(raw: DataFrame) -> DataFrame:
     )
 
 
+def load_crosswalk(raw: DataFrame, state: str = "CT") -> DataFrame:
+    """One state's postal code -> census area rows, and ``load_errors``.
+
+    A postal code or area that is filled but not five digits costs its row.
+    """
+    rows = zip_crosswalk(raw, state)
+    wrong = [F.when((F.col(c) != "") & ~F.col(c).rlike("^[0-9]{5}$"), F.lit(c)) for c in ("zipcode", "zcta")]
+    return rows.withColumn("load_errors", F.nullif(F.concat_ws(",", *wrong), F.lit("")))
+
+
 def zip_crosswalk(raw: DataFrame, state: str = "CT") -> DataFrame:
-    """One state's postal code -> census area rows."""
+    """One state's postal code -> census area rows as they stand."""
     rows = raw.filter(F.col("STATE") == state).withColumnsRenamed(
         {
             "ZIP_CODE": "zipcode",
@@ -96,3 +123,12 @@ def population(raw: DataFrame) -> DataFrame:
         ),
         schemas.POPULATION,
     )
+
+
+# Where a sheet's row has its area, and its number columns by place with their types.
+_NUMBERS = {
+    "income": (lambda raw: area_code(raw.columns[0]), {1: int_or_null, 2: int_or_null}),
+    "minority": (lambda raw: area_code(raw.columns[1]), {2: lambda c: c.try_cast("decimal(4,1)"), 3: lambda c: c.try_cast("double")}),
+    "english": (lambda raw: F.col(raw.columns[0]), {1: int_or_null, 2: int_or_null, 3: lambda c: c.try_cast("decimal(4,3)")}),
+    "population": (lambda raw: area_code(raw.columns[0]), {1: int_or_null}),
+}

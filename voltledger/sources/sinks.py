@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voltledger.operators.reports import control_totals
@@ -41,12 +41,21 @@ def write_report(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def write_load(loaded: DataFrame, path: str) -> None:
-    """Accepted and rejected rows of a load in one pass, apart by folder."""
-    status = F.when(F.col("load_errors").isNull(), "accepted").otherwise("rejected")
-    loaded.withColumn("load_status", status).write.mode("overwrite").partitionBy(
+def write_load(loaded: DataFrame, path: str, sums: Sequence[str] = ()) -> dict[str, int | float]:
+    """Accepted and rejected rows of a load in one pass, apart by folder.
+
+    Returns how many there were of each and the sums of the accepted rows' columns ``sums``, which are
+    observed while the rows are written.
+    """
+    good = F.col("load_errors").isNull()
+    seen = Observation()
+    metrics = [F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected")]
+    metrics += [F.sum(F.when(good, F.col(c))).alias(f"sum_{c}") for c in sums]
+    status = F.when(good, "accepted").otherwise("rejected")
+    loaded.observe(seen, *metrics).withColumn("load_status", status).write.mode("overwrite").partitionBy(
         "load_status"
     ).parquet(path)
+    return seen.get
 
 
 def bill_audit(bills: DataFrame, keys: Sequence[str] = ("supplier",)) -> DataFrame:

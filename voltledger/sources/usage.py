@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import schemas
-from voltledger.functions import int_or_null, year_month
+from voltledger.functions import whole_or_null, year_month
 from voltledger.operators.cleanse import clean_green
 from voltledger.operators.conform import accepted
+from voltledger.operators.rates import SHEET_COLUMNS
 
 # Heading of each count in the utilities' answers.
 PARTICIPATION_COLUMNS = {
@@ -51,14 +52,31 @@ def green_usage(raw: DataFrame) -> DataFrame:
     return clean_green(accepted(load_green(raw)))
 
 
+def load_rate_sheet(raw: DataFrame) -> DataFrame:
+    """Monthly standard rates in cents with the ``YYYYMM`` key, and ``load_errors``.
+
+    A filled rate that is no number, a year that is not four digits and a month that is not one of
+    twelve cost their row; an empty rate is missing.
+    """
+    year, month = (F.trim(F.col(c).cast("string")) for c in ("year", "month"))
+    month = F.lpad(month, 2, "0")
+    text = {
+        "year": F.coalesce(year, F.lit("")),
+        "month": F.coalesce(month, F.lit("")),
+        **{r: F.nullif(F.trim(F.col(r).cast("string")), F.lit("")) for r in SHEET_COLUMNS.values()},
+    }
+    typed = {
+        "year": F.when(year.rlike("^[0-9]{4}$"), year),
+        "month": F.when(month.rlike("^(0[1-9]|1[0-2])$"), month),
+        **{r: text[r].try_cast(schemas.RATE_SHEET[r].dataType) for r in SHEET_COLUMNS.values()},
+    }
+    typed["date_concat"] = year_month(typed["year"], typed["month"])
+    return _with_errors(raw, {f.name: typed[f.name] for f in schemas.RATE_SHEET}, text)
+
+
 def rate_sheet(raw: DataFrame) -> DataFrame:
-    """Monthly standard rates in cents with the ``YYYYMM`` key."""
-    month = F.lpad(F.col("month").cast("string"), 2, "0")
-    keyed = raw.withColumns({"year": F.col("year").cast("string"), "month": month})
-    keyed = keyed.withColumn("date_concat", year_month("year", "month"))
-    return keyed.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RATE_SHEET]
-    )
+    """``load_rate_sheet`` without the rows that have load errors."""
+    return accepted(load_rate_sheet(raw))
 
 
 def participation_counts(
@@ -73,7 +91,7 @@ def load_participation(
 ) -> DataFrame:
     """Customer counts with missing values as 0, tagged with the utility, and ``load_errors``.
 
-    A filled cell that is no number (``1,234``) is a load error, not 0.
+    A filled cell that is no whole number (``1,234``, ``12.7``) is a load error, not 0; ``12.0`` is 12.
 
     ``utility`` is a name, whose answer's headings are known, or a column of a
     sheet holding several utilities, with ``columns`` giving its headings.
@@ -87,7 +105,7 @@ def load_participation(
     counts = ("num_custs_supplier", "num_custs_edc", "tot_custs")
     text = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("0")) for c in counts}
     filled = {k: F.coalesce(F.rtrim(k), F.lit("0")) for k in ("zip", "year")}
-    filled |= {c: int_or_null(text[c]) for c in counts}
+    filled |= {c: whole_or_null(text[c]) for c in counts}
     typed = {
         f.name: filled.get(f.name, F.col(f.name)).cast(f.dataType) for f in schemas.PARTICIPATION
     }
