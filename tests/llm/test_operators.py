@@ -119,19 +119,53 @@ def test_contamination(spark, given, sf_dir, none):
     assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in got)
 
 
-def test_a_mask_survives_any_four_substitutions():
+@pytest.mark.parametrize("length", range(decontaminate.SEEDED, decontaminate.OVERLAP + 1))
+def test_a_mask_survives_any_substitutions_that_are_allowed(length):
     from itertools import combinations
 
     shifts = [
         sum(1 << (k + i) for i, c in enumerate(m) if c == "1")
         for m in decontaminate.MASKS
-        for k in range(decontaminate.OVERLAP - len(m) + 1)
+        for k in range(length - len(m) + 1)
     ]
-    for gone in combinations(range(decontaminate.OVERLAP), 4):
+    for gone in combinations(range(length), length - math.ceil(decontaminate.AGREE * length)):
         hole = sum(1 << i for i in gone)
         assert any(not s & hole for s in shifts)
 
 
+def contaminated(words, item):
+    """Brute force: some 20 consecutive item words, or all of a shorter one, of which four fifths agree on a diagonal."""
+    if len(item) < decontaminate.SEEDED:
+        if len(item) < decontaminate.WITHIN:
+            return words == item
+        return any(words[i : i + len(item)] == item for i in range(len(words)))
+    need = min(len(item), decontaminate.OVERLAP)
+    for start in range(-len(item), len(words)):
+        same = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(item)]
+        if any(sum(same[i : i + need]) >= decontaminate.AGREE * need for i in range(len(item) - need + 1)):
+            return True
+    return False
+
+
+def test_contamination_is_that_of_brute_force(spark):
+    draw = np.random.default_rng(8)
+    items = [[f"q{k}w{i}" for i in range(n)] for k, n in enumerate([*range(1, 24), 30, 41])]
+    docs = []
+    for item in items * 6:
+        words = [w if draw.random() > draw.choice([0, 0.1, 0.2, 0.25, 0.3]) else "zz" for w in item]
+        at = int(draw.integers(0, len(words))) if draw.random() < 0.3 else 0
+        around = int(draw.integers(0, 150)) * int(draw.integers(0, 2))
+        docs.append([f"a{i}" for i in range(around)] + words[at:] + [f"b{i}" for i in range(around % 7)])
+    docs += [items[3], items[3] + ["x"], items[0], [*items[0], "x"], []]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([*items, []])], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    have = {r.doc_id: r.item_ids for r in got if r.contaminated}
+    want = {i: ",".join(map(str, [k for k, item in enumerate(items) if contaminated(d, item)])) for i, d in enumerate(docs)}
+    assert have == {i: ks for i, ks in want.items() if ks}
+    assert len(have) > 40
+
+
 # 4
 
 
@@ -150,6 +184,16 @@ def test_scores(odd, none, odd_rows):
     assert hmm.score(none, rounds=1).count() == 0
 
 
+def test_frequent_words_are_filtered_not_sorted(spark):
+    draw = np.random.default_rng(1)
+    c = draw.zipf(1.2, 5000) % 10**9 + 1
+    words = spark.createDataFrame([(f"w{i}".encode(), int(n)) for i, n in enumerate(c)], "word binary, c long")
+    for most in (1, 50, 700, 5000, 9000):
+        got = sorted(r.c for r in hmm.frequent(words, most).collect())
+        assert len(got) <= most and got == sorted(map(int, c))[5000 - len(got):]
+        assert len(got) > 0.9 * min(most, 5000) or c.tolist().count(sorted(c)[-len(got) - 1]) > 1
+
+
 def test_forward_is_the_sum_over_all_paths():
     draw = np.random.default_rng(0)
     k = 3
@@ -371,10 +415,35 @@ def test_components(spark):
 # 10
 
 
-def test_shares_are_poured_until_none_is_above():
-    got = curriculum.shares({"a": 100, "b": 1, "c": 100, None: 10})
-    assert got["b"] == 3 and math.isclose(sum(got.values()), 211)
-    assert math.isclose(got["c"] / got["a"], 3) and math.isclose(got[None], got["a"]) is False or got[None] <= 30
+def shares(sizes, most=3.0):
+    """Target words by source: what a source would get above ``most`` times its size is shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
+    weights = {s: float(i % 3 + 1) for i, s in enumerate(order)}
+    total, full = float(sum(sizes.values())), {}
+    while True:
+        free = [s for s in order if s not in full]
+        left, by = total - sum(full.values()), sum(weights[s] for s in free)
+        share = {s: left * weights[s] / by for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return full | share
+        full |= {s: most * sizes[s] for s in over}
+
+
+def test_shares_are_poured_until_none_is_above(spark):
+    draw = np.random.default_rng(6)
+    for n in (1, 4, 300):
+        sizes = {f"s{i:03d}": int(draw.zipf(1.3) % 100_000) for i in range(n)}
+        order = sorted(sizes)
+        rows = [(s, sizes[s], float(i % 3 + 1)) for i, s in enumerate(order)]
+        got = curriculum.shares(spark.createDataFrame(rows, "source string, size long, weight double"))
+        assert {r.source: r.target for r in got.collect()} == pytest.approx(shares(sizes))
+
+
+def test_sources_may_be_as_many_as_documents(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', int(id % 9)) AS text", "concat('s', id) AS source", "'en' AS lang")
+    rows = curriculum.plan(docs).select("taken", "size").collect()
+    assert len(rows) == 20_000 and all(r.taken <= 3 * r.size for r in rows)
 
 
 def test_mix(odd, none, odd_rows):
@@ -382,7 +451,7 @@ def test_mix(odd, none, odd_rows):
     size = Counter()
     for r in odd_rows:
         size[r[3]] += len(SPACE.findall(r[1] or ""))
-    target = curriculum.shares(size)
+    target = shares(size)
     taken, largest = Counter(), Counter()
     for r in rows:
         assert r.source_size == size[r.source] and r.target == target[r.source] and r.taken <= 3 * r.size

@@ -16,7 +16,7 @@ from .test_operators import classes, removed  # noqa: E402
 def test_stages(spark, given, sf_dir):
     steps = [given]
     for _, stage in corpus_pipeline.STAGES:
-        steps.append(stored(stage(spark, steps[-1], sf_dir), "step"))
+        steps.append(stored(stage(spark, steps[-1], sf_dir), "stage", step=False))
     raw, good, single, stripped, clean, mixed = steps
     for df in steps[:5]:
         assert df.columns == given.columns

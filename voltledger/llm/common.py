@@ -28,21 +28,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor costs no earlier step."""
+#: Paths of stored steps by application, until they are dropped.
+_steps: dict[str, list[str]] = {}
+
+
+def stored(df: DataFrame, name: str, step: bool = True) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor costs no earlier step.
+
+    It goes with the session, or, being a ``step`` of a result, once that is written: see ``drop_steps``.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if step:
+        _steps.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_steps(spark: SparkSession) -> None:
+    """Delete the steps stored so far; every result that reads them must have been written by now."""
+    for path in _steps.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def numbered(df: DataFrame, by: list[Column], number: str) -> DataFrame:
     """``df``, a stored table, with a dense ``number`` from 0 in the order of ``by``.
 
     Range partitions are sorted and counted; each row's number is its place in its partition
     after the rows of the partitions before. ``by`` must tell rows apart.
     """
-    part, place, ahead = fresh(df, "part", "place", "ahead")
+    part, place, ahead = fresh(df, f"{number}_part", f"{number}_place", f"{number}_ahead")
     at = F.monotonically_increasing_id()
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(
         {part: F.shiftright(at, 33), place: at.bitwiseAND(F.lit((1 << 33) - 1))}

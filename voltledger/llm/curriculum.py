@@ -17,38 +17,37 @@ are added up first, and within a bucket rows are added up by a window.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from math import isqrt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, row_keys, stored, text_of
+from .common import WORD, fresh, numbered, row_keys, stored, text_of, union_all
 
 MOST = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)  # by source in code-point order, repeating
 SLOPES = (-0.5, 0.0, 0.5)  # early, even and late sources, repeating
 
 
-def shares(
-    sizes: Mapping[str | None, int],
-    weights: Mapping[str | None, float] | None = None,
-    most: float = MOST,
-) -> dict[str | None, float]:
-    """Target words by source. ``sizes`` has a row per source, not per document."""
-    order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
-    if weights is None:
-        weights = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
-    total = float(sum(sizes.values()))
-    full: dict[str | None, float] = {}
+def shares(sources: DataFrame, most: float = MOST) -> DataFrame:
+    """``sources``, a stored table (source, size, weight), with ``target``: words by weight, ``most`` times the size at most.
+
+    What is shared out per unit of weight rises from round to round, as sources are found full; it is the
+    same for all that aren't, so a round is one sum over the sources and the driver holds one number.
+    """
+    total = sources.agg(F.sum("size").alias("n")).first().n or 0
+    full, before = F.lit(False), None
     while True:
-        free = [s for s in order if s not in full]
-        left, by = total - sum(full.values()), sum(weights[s] for s in free)
-        share = {s: left * weights[s] / by if by else 0.0 for s in free}
-        over = [s for s in free if share[s] > most * sizes[s]]
-        if not over:
-            return full | share
-        full |= {s: most * sizes[s] for s in over}
+        sums = sources.agg(
+            F.coalesce(F.sum(F.when(full, F.col("size"))), F.lit(0)).alias("size"),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        ).first()
+        left = total - most * sums["size"]
+        share = F.lit(float(left)) * F.col("weight") / F.lit(sums["weight"] or 1.0)
+        if (sums["size"], sums["weight"]) == before:
+            return sources.withColumn("target", F.when(full, most * F.col("size")).otherwise(share))
+        before = (sums["size"], sums["weight"])
+        full = share > most * F.col("size")
 
 
 def _when(slope: Column, x: Column) -> Column:
@@ -76,18 +75,24 @@ def plan(docs: DataFrame, most: float = MOST) -> DataFrame:
         ),
         "sizes",
     )
-    # One row per source; sources are few beside documents.
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    target = shares({r.source: r.size for r in totals}, most=most)
-    order = sorted(target, key=lambda s: (s is None, s.encode() if s is not None else b""))
-    slope = {s: SLOPES[i % len(SLOPES)] for i, s in enumerate(order)}
-    spark = docs.sparkSession
-    sources = spark.createDataFrame(
-        [(r.source, r.size, target[r.source], slope[r.source], isqrt(r.n) + 1) for r in totals],
-        "s string, source_size long, target double, slope double, buckets long",
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # Spark orders strings by their bytes, that is by code point.
+    ranked = numbered(stored(totals, "sources"), [F.asc_nulls_last("source")], "place")
+
+    def nth(values: Sequence[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("place") % len(values) + 1).cast("int"))
+
+    ranked = stored(ranked.withColumn("weight", nth(WEIGHTS)), "weights")
+    # Stored, so that Spark knows its size: it broadcasts sources below its threshold, and beyond splits hot ones.
+    sources = stored(
+        shares(ranked, most).select(
+            F.col("source").alias("s"), F.col("size").alias("source_size"), "target", nth(SLOPES).alias("slope"),
+            (F.floor(F.sqrt("n")) + 1).alias("buckets"),
+        ),
+        "targets",
     )
     mixed = F.shiftrightunsigned(F.xxhash64("k2", "k1"), 32)
-    dealt = rows.join(F.broadcast(sources) if len(totals) <= 100_000 else sources, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
+    dealt = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
         "mixed", mixed
     ).withColumn("bucket", F.shiftright(F.col("mixed") * F.col("buckets"), 32))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -143,22 +148,23 @@ def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
         docs, "k1", "k2", "position", "copy", "nth", "row_hash", "p1", "p2", "p", "pn"
     )
     a, b = row_keys(docs)
-    # Rows of a source with equal keys are numbered on both sides, so that each gets the copies of one.
-    # The source goes into the second key, so that numbers and join need the same columns.
+    # The source goes into the second key, as rows of two sources may have equal keys.
+    mine = docs.withColumns({k1: a, k2: F.xxhash64(b, docs["source"].cast("string"))})
+    times = stored(
+        plan(docs, most).select(
+            F.col("k1").alias(p1), F.xxhash64("k2", "source").alias(p2), F.col("positions").alias(p), F.col("copies").alias(pn)
+        ),
+        "positions",
+    )
+    twice = stored(times.groupBy(p1, p2).count().where("count > 1").select(p1, p2), "repeated")
+    same = (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2))
+    # Rows that nothing tells apart are numbered on both sides, so that each gets the copies of one.
     one = Window.partitionBy(k1, k2).orderBy(order)
-    mine = docs.withColumns(
-        {
-            k1: a,
-            k2: F.xxhash64(b, docs["source"].cast("string")),
-            order: F.xxhash64(*[docs[c] for c in docs.columns]),
-        }
-    ).withColumn(nth, F.row_number().over(one))
-    times = plan(docs, most).select(
-        F.col("k1").alias(p1), F.xxhash64("k2", "source").alias(p2),
-        F.col("positions").alias(p), "copies",
-    )
-    alike = Window.partitionBy(p1, p2).orderBy(F.desc("copies"), p)
-    times = times.withColumn(pn, F.row_number().over(alike)).drop("copies")
-    joined = mine.join(times, (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2)) & (F.col(nth) == F.col(pn)))
-    copies = joined.select(*docs.columns, F.posexplode(p).alias(copy, position))
+    alike = Window.partitionBy(p1, p2).orderBy(F.desc(pn), p)
+    repeated = mine.join(twice, same, "left_semi").withColumn(order, F.xxhash64(*[docs[c] for c in docs.columns]))
+    repeated = repeated.withColumn(nth, F.row_number().over(one))
+    numbers = times.join(twice, [p1, p2], "left_semi").withColumn(pn, F.row_number().over(alike))
+    alone = times.join(twice, [p1, p2], "left_anti")
+    joined = [mine.join(alone, same), repeated.join(numbers, same & (F.col(nth) == F.col(pn)))]
+    copies = union_all([j.select(*docs.columns, F.posexplode(p).alias(copy, position)) for j in joined])
     return copies.repartitionByRange(F.col(position)).sortWithinPartitions(position)

@@ -10,55 +10,70 @@ same.
 Documents are turned into seeds and meet the items' seeds without a shuffle; only
 the few that have hits are read again to verify them. Item seeds are counted and
 broadcast in blocks of bounded size; more items mean more blocks, i.e. more
-passes, not larger broadcasts. Items with fewer words
-than the longest mask are too short to be evidence and match nothing.
+passes, not larger broadcasts.
+
+Items of fewer than ``SEEDED`` words match verbatim only: their one seed is the hash of all their words.
+One of fewer than ``WITHIN`` words is no evidence inside a longer text, and matches a document that is
+nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, fresh, row_keys, stored, terms, text_of, union_all
 
-#: Fixed masks: 1 takes a word, 0 ignores it. Found by search: whichever 4 of 20 words are
+#: Fixed masks: 1 takes a word, 0 ignores it. Found by search: whichever fifth of 10 to 20 words is
 #: substituted, one of them still fits between the substitutions.
-MASKS = ("1111011", "1110100011", "1110111")
-SPAN = max(map(len, MASKS))
+MASKS = ("110111", "1101011", "101000111")
+SEEDED = 10  # words from which on an item is seeded by masks
+WITHIN = 5
+SPAN = max(SEEDED - 1, *map(len, MASKS))
 OVERLAP = 20
 AGREE = 0.8
 PART = 64  # places handled together
 BLOCK_SEEDS = 200_000
 BLOCK_ITEMS = 5_000
-BLOCK_DOCS = 50_000  # documents with hits that are broadcast; beyond, the join shuffles
-
 
-def _exploded(rows: DataFrame, *keys: str) -> DataFrame:
+def _exploded(rows: DataFrame, *keys: str, lengths: Sequence[int] = (), items: bool = False) -> DataFrame:
     """A row per mask and place of column ``words`` where the mask fits: keys, place, seed.
 
+    ``lengths`` are those of the short items: their masks take every word. Of ``items`` themselves
+    short ones have that seed only, and long ones the others.
+
     Texts are cut into overlapping parts first, so that no step carries a long
     text at each of its places. The outer forms, because Spark infers a filter for
     the inner ones and pushes it below ``words``, which would then be made anew.
     """
+    masks = [*MASKS, *("1" * n for n in lengths)]
     n = F.size("words")
     cut = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PART)),
         lambda c: F.struct(c.alias("from"), F.slice("words", c + 1, PART + SPAN - 1).alias("words")),
     )
-    parts = rows.select(*keys, F.explode_outer(cut).alias("part")).select(
-        *keys, F.col("part.from").alias("from"), F.col("part.words").alias("words")
+    parts = rows.select(*keys, n.alias("long"), F.explode_outer(cut).alias("part")).select(
+        *keys, "long", F.col("part.from").alias("from"), F.col("part.words").alias("words")
     )
-    least = min(map(len, MASKS))
-    last = F.least(F.lit(PART - 1), n - least)
+    last = F.least(F.lit(PART - 1), n - min(map(len, masks)))
     places = parts.select(
-        *keys, "from", "words", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i")
+        *keys, "long", "from", "words", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i")
     )
+
+    def fits(mask: str) -> Column:
+        inside = F.col("i") + len(mask) <= n
+        if "0" in mask:
+            return inside & (F.col("long") >= SEEDED) if items else inside
+        return inside & (F.col("long") == len(mask)) if items or len(mask) < WITHIN else inside
+
     seeds = [
         F.when(
-            F.col("i") + len(mask) <= n,
-            F.xxhash64(F.lit(m), *[F.get("words", F.col("i") + j) for j, c in enumerate(mask) if c == "1"]),
+            fits(mask),
+            F.xxhash64(F.lit(mask), *[F.get("words", F.col("i") + j) for j, c in enumerate(mask) if c == "1"]),
         )
-        for m, mask in enumerate(MASKS)
+        for mask in masks
     ]
     return places.select(
         *keys, (F.col("from") + F.col("i")).alias("place"), F.explode_outer(F.array(*seeds)).alias("seed")
@@ -66,12 +81,12 @@ def _exploded(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, words and row hash of the usable items; equal rows are one item."""
+    """item_id, words and row hash of the items with a word; equal rows are one item."""
     words = terms(text_of(benchmark))
     own = benchmark["item_id"].cast("long")
     return (
         benchmark.select(own.alias("item_id"), words.alias("words"))
-        .where(F.size("words") >= SPAN)
+        .where(F.size("words") > 0)
         .withColumn("row", F.xxhash64("item_id", "words"))
         .distinct()
     )
@@ -84,12 +99,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and item. Items without an id are matched under a null id.
     """
     items = stored(items_of(benchmark), "items")
+    short = items.where(F.size("words") < SEEDED).select(F.size("words").alias("n")).distinct()
+    lengths = sorted(r.n for r in short.collect())  # nine at most
     seeds = stored(
-        _exploded(items, "row").withColumnRenamed("place", "at").distinct(), "seeds"
+        _exploded(items, "row", lengths=lengths, items=True).withColumnRenamed("place", "at").distinct(), "seeds"
     )
     k1, k2 = row_keys(docs)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), text_of(docs).alias("text"))
-    probes = _exploded(rows.select("k1", "k2", terms(F.col("text")).alias("words")), "k1", "k2")
+    probes = _exploded(rows.select("k1", "k2", terms(F.col("text")).alias("words")), "k1", "k2", lengths=lengths)
     diagonals = stored(
         union_all(
             [
@@ -103,8 +120,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         diagonals.groupBy("k1", "k2").agg(F.collect_list(F.struct("row", "start")).alias("laid")),
         "laid",
     )
-    few = laid.count() <= BLOCK_DOCS
-    found = rows.join(F.broadcast(laid) if few else laid, ["k1", "k2"]).select(
+    # Stored, so that Spark knows the size and broadcasts below its threshold.
+    found = rows.join(laid, ["k1", "k2"]).select(
         "k1", "k2", terms(F.col("text")).alias("words"), F.explode("laid").alias("on")
     )
     verified = union_all(
@@ -123,6 +140,7 @@ def _verified(laid: DataFrame) -> DataFrame:
         "item", lambda w, j: F.coalesce(F.get(words, start + j) == w, F.lit(False)).cast("int")
     )
     need = F.least(F.size("item"), F.lit(OVERLAP))
+    share = F.when(F.size("item") < SEEDED, 1.0).otherwise(AGREE)
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0), lambda n, x: n + x)
@@ -134,9 +152,9 @@ def _verified(laid: DataFrame) -> DataFrame:
     return (
         laid.select("k1", "k2", "item_id", "item", same.alias("same"))
         # An overlap can't hold where the whole diagonal agrees in too few words.
-        .where(total(F.col("same")) >= AGREE * need)
-        .select("k1", "k2", "item_id", (F.array_max(windows) / need).alias("agree"))
-        .where(F.col("agree") >= AGREE)
+        .where(total(F.col("same")) >= share * need)
+        .select("k1", "k2", "item_id", (F.array_max(windows) / need).alias("agree"), share.alias("share"))
+        .where(F.col("agree") >= F.col("share"))
     )
 
 

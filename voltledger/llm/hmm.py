@@ -7,7 +7,7 @@ class comes from the counts of all words. The likelihood of a text is exact: the
 scaled forward recursion over its classes, times its words given their classes.
 
 * Words are counted over all training texts; the counts are a table of any size.
-* The ``HEAD`` most frequent words travel with the tasks; every other word of a
+* The most frequent words, ``HEAD`` at most, travel with the tasks; every other word of a
   text meets its count in a join, so nothing that grows is broadcast.
 * Texts are stored once as class numbers. A round of Baum-Welch adds up expected
   counts in every task, over the texts cut into pieces of ``PIECE`` classes, and
@@ -68,6 +68,18 @@ def counts(docs: DataFrame) -> DataFrame:
     return text.mapInPandas(tally, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent rows of ``words`` (word, c), ``most`` at the most.
+
+    A histogram of the counts, with steps of about one percent, says from which count on the words are as many; so
+    words are filtered where they are, and neither sorted nor gathered to be cut.
+    """
+    step = F.floor(F.log2("c") * 64)
+    bins = words.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)
+    fits = bins["step"][bins["count"].cumsum() <= most]
+    return words.where(step >= int(fits.min())) if len(fits) else words.limit(0)
+
+
 def forward(model: Model, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each class sequence flat[start:start+length], by scaled forward recursion."""
     order = np.argsort(-length, kind="stable")
@@ -179,7 +191,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     everything = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = everything.n or 0, everything.v
     ends = n - (words.agg(F.sum("c").alias("n")).first().n or 0)
-    head = words.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    head = frequent(words, HEAD).toPandas().sort_values(["c", "word"], ascending=[False, True])
     shared = words.groupBy(F.pmod(F.crc32("word"), F.lit(SHARED)).cast("int").alias("k")).agg(
         F.sum("c").alias("n"), F.count("*").alias("v")
     ).toPandas()

@@ -9,9 +9,10 @@ its distance exceeds ``CUT``.
 
 All of it is built-in expressions. Texts are read once, into a stored table of
 statistics; the steps run on that. Each step is a map-side-combined aggregate per
-group, so a source with a third of all rows costs a task one row. Groups with
-fewer than ``LEAST`` rows use their language's estimate, and languages with fewer
-that of all rows.
+group, so a source with a third of all rows costs a task one row. Steps are taken until no
+determinant moves any more. An estimate from n rows counts n / (n + ``PRIOR``), the rest is the estimate
+of the group's language, and that of a language is mixed with the one of all rows in the same way; so
+verdicts change gradually as a group grows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, row_keys, small, stored, text_of
 
 SHARE = 0.75  # of a group's rows that a concentration step keeps
-STEPS = 4
-LEAST = 60  # rows for an estimate of a group's own
+STEPS = 10  # at most
+SETTLED = 0.02  # change of a determinant's logarithm that counts as none
+PRIOR = 60  # rows that the estimate of the level above counts as
 CUT = 28.0  # squared distance beyond which a row is an outlier
 #: Statistics and the spread that even a group of equal texts is granted, in transformed units.
 AXES = {
@@ -178,10 +180,10 @@ def _lower(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """MCD estimates by ``grp``: columns grp, m_i, l_i_j.
+def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """MCD estimates by ``g``: columns g, n, m_i, c_i_j (lower covariances), a stored table.
 
-    ``rows``: a stored table with grp and the axes. A row counts in its group,
+    ``rows``: a stored table with lang, source and the axes. A row counts in its group,
     its language and the whole, keyed by ``level``.
     """
     names, floors = list(AXES), list(AXES.values())
@@ -198,7 +200,7 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int =
         F.count("*").alias("n"),
         *[F.percentile_approx(a, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{i}") for i, a in enumerate(names)],
     )
-    start = start.where(F.col("n") >= least)
+    start = stored(start, "starts")
     params = start.select(
         "g",
         *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)],
@@ -220,7 +222,6 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int =
         inner = far.join(small(edge), "g").where("d2 <= edge").join(small(centre), "g")
         x = [F.col(a) - F.col(f"o_{i}") for i, a in enumerate(names)]
         sums = inner.groupBy("g").agg(
-            F.count("*").alias("n"),
             *[F.avg(x[i]).alias(f"a_{i}") for i in range(p)],
             *[F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _lower(p)],
         )
@@ -236,48 +237,64 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS, least: int =
                 for i, j in _lower(p)
             ],
         )
+        cov = stored(cov, "covariances")
+        before = params.select("g", _log_det(p).alias("before"))
         params = stored(
-            _cholesky(stored(cov, "covariances"), p).select(
-                "g", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i, j in _lower(p)]
-            ),
+            _cholesky(cov, p).select("g", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i, j in _lower(p)]),
             "mcd",
         )
-    return params
+        # The first step leaves the spreads of medians, which are no covariances yet.
+        moved = params.join(before, "g").agg(F.max(F.abs(_log_det(p) - F.col("before"))).alias("most")).first().most
+        if moved is None or moved < SETTLED:
+            break
+    return stored(cov.join(start.select("g", "n"), "g"), "estimates")
+
+
+def _log_det(p: int) -> Column:
+    return sum((2 * F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0))
+
+
+def mixed(groups: DataFrame, estimates: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(own, m_i, l_i_j): each (lang, source) of ``groups`` with its estimate, pulled towards the levels above.
+
+    A group, or a language, without rows of its own has that of the level above; without any rows there is none.
+    """
+    p = len(AXES)
+    names = [*[f"m_{i}" for i in range(p)], *[f"c_{i}_{j}" for i, j in _lower(p)]]
+    none = F.lit(None).cast("string")
+    keys = [
+        F.xxhash64(F.lit(2), none, none),
+        F.xxhash64(F.lit(1), F.col("lang"), none),
+        F.xxhash64(F.lit(0), F.col("lang"), F.col("source")),
+    ]
+    out = groups.select(*[k.alias(f"key_{i}") for i, k in enumerate(keys)])
+    for level in range(3):
+        own = estimates.select(F.col("g").alias(f"key_{level}"), F.col("n").alias("n_"), *[F.col(c).alias(f"{c}_") for c in names])
+        weight = F.coalesce(F.col("n_") / (F.col("n_") + prior), F.lit(0.0)) if level else F.lit(1.0)
+        above = [F.col(c) if level else F.lit(None).cast("double") for c in names]
+        out = out.join(small(own), f"key_{level}", "left")
+        pulled = [
+            F.coalesce(F.round(weight * F.col(f"{c}_") + (1 - weight) * a, 9), a if level else F.col(f"{c}_")).alias(c)
+            for c, a in zip(names, above, strict=True)
+        ]
+        out = out.select("key_0", "key_1", "key_2", *pulled)
+    out = stored(out.where(F.col(names[0]).isNotNull()).withColumnRenamed("key_2", "own"), "mixed")
+    return _cholesky(out, p).select("own", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i, j in _lower(p)])
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Per row of ``docs``: ids, row keys, counts, base_failed, distance and kept.
 
-    A row without any estimate for it (too few rows in all) is kept unless the
-    base rule fails it; ``distance`` is then null.
+    Without any row that passes the base rule there is no estimate, and ``distance`` is null.
     """
     names = list(AXES)
     table = stored(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
     rows = table.withColumns(_axes())
-    params = fit(rows.where(~F.col("base_failed")).select("lang", "source", *names))
-    known = params.select("g")
-    none = F.lit(None).cast("string")
-    keys = [
-        F.xxhash64(F.lit(0), F.col("lang"), F.col("source")),
-        F.xxhash64(F.lit(1), F.col("lang"), none),
-        F.xxhash64(F.lit(2), none, none),
-    ]
-    # Each (lang, source) takes the first of its three estimates that exists.
-    groups = rows.select("lang", "source").distinct().withColumn(
-        "try", F.array(*[F.struct(F.lit(i).alias("i"), k.alias("g")) for i, k in enumerate(keys)])
-    )
-    chosen = (
-        groups.select("lang", "source", F.explode("try").alias("t"))
-        .join(known, F.col("t.g") == known.g)
-        .groupBy("lang", "source")
-        .agg(F.min("t").alias("t"))
-        .select(keys[0].alias("own"), F.col("t.g").alias("g"))
-        .join(params, "g")
-        .drop("g")
-    )
-    chosen = stored(chosen, "chosen")
+    estimates = fit(rows.where(~F.col("base_failed")).select("lang", "source", *names))
+    chosen = stored(mixed(stored(rows.select("lang", "source").distinct(), "groups"), estimates), "chosen")
+    own = F.xxhash64(F.lit(0), F.col("lang"), F.col("source"))
     far = _with_distance(
-        rows.withColumn("own", keys[0]).join(small(chosen), "own", "left"), names, "distance"
+        rows.withColumn("own", own).join(small(chosen), "own", "left"), names, "distance"
     )
     return far.select(
         *table.columns,
