@@ -347,6 +347,102 @@ def test_main_text():
     assert html_density.main_text(deep) == "deep text"
 
 
+LONG = " ".join(f"Sentence {i} of the story has some words in it." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><main><h1>T</h1><article><p>{LONG}</article><article><p>More {LONG}</article></main>", f"T\n{LONG}\nMore {LONG}"),
+        (f"<body><main><h1>T</h1><p>Lead<article><p>{LONG}</article></main>", f"T\nLead\n{LONG}"),
+        (f"<body><h1>T</h1><article><p>{LONG}</article><article><p>More {LONG}</article>", f"T\n{LONG}\nMore {LONG}"),
+        (f"<body><article><div class='entry-header'><h1>T</h1></div><p>{LONG}</article>", f"T\n{LONG}"),
+        (f"<body><article><div class='header'><h1>T</h1></div><p>{LONG}</article>", f"T\n{LONG}"),
+        (f"<body><article><h1>T</h1><p>{LONG}<h2 id='related-work'>W</h2><p>w<section id='sharing-data'><p>s</section></article>", f"T\n{LONG}\nW\nw\ns"),
+        (f"<body><article><h1>T</h1><p>{LONG}<div class='share'>S</div><div id=comments><p>c</div></article>", f"T\n{LONG}"),
+        (f"<body><article><h1>T</h1><p>{LONG}<div class='comments-area'><p>c</div><aside>x</aside></article>", f"T\n{LONG}"),
+        (f"<body><div id=nav><a href=x>Home</a></div><div><h2>T</h2><p>{LONG}<p>{LONG}</div><div class=sidebar-left>s</div>", f"T\n{LONG}\n{LONG}"),
+        (f"<body><article><p title='a > b <i>'>{LONG}</article>", LONG),
+        (f"<body><article><p>1 < 2 and a<b {LONG}</article>", f"1 < 2 and a<b {LONG}"),
+    ],
+)
+def test_what_belongs_to_the_main_text(page, text):
+    assert html_density.main_text(page) == text
+
+
+def densities(root):
+    """Composite densities by their definition, node by node."""
+
+    def count(n, linked=False):
+        linked = linked or n.tag == "a"
+        c = [0, 0, 0, int(linked)]  # characters, tags below, those in links
+        for p in () if n.tag in ("script", "style", "noscript", "template", "head") else n.parts:
+            if isinstance(p, str):
+                size = sum(not x.isspace() for x in p)
+                c[0] += size
+                c[2] += size * linked
+            else:
+                below = count(p, linked)
+                c[0] += below[0]
+                c[1] += below[1] + 1
+                c[2] += below[2]
+                c[3] += below[3]
+        return c
+
+    chars, _, links, _ = count(root)
+
+    def density(n):
+        c, t, lc, lt = count(n)
+        if not c:
+            return 0.0
+        base = math.log(c * lc / max(1, c - lc) + links / max(1, chars) * c + math.e)
+        ratio = c / max(1, lc) * max(1, t) / max(1, lt)
+        return c / max(1, t) * math.log(max(1.0, ratio)) / max(math.log(base), 0.05)
+
+    return density
+
+
+def test_density_on_pages_without_an_article():
+    draw = np.random.default_rng(4)
+
+    def element(depth):
+        kind = draw.choice(["div", "p", "section", "b", "a"] if depth else ["div"])
+        inner = "".join(f"t{draw.integers(99)} " * int(draw.integers(0, 12)) if draw.random() < 0.5 or depth > 3 else element(depth + 1) for _ in range(4))
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(60):
+        root = html_density.parse(f"<html><body>{element(0)}{element(0)}</body></html>")
+        html_density.measure(root)
+        of = densities(root)
+        nodes = html_density._walk(root)
+        for n in nodes:
+            if n.tag != "a" and not any(u.tag == "a" for u in ancestors(n)):
+                assert math.isclose(n.density, of(n), rel_tol=1e-9, abs_tol=1e-12), n.tag
+        # The subtree of the largest sum is taken, and nothing twice.
+        roots = html_density.main_nodes(root)
+        best = max((n for n in nodes if n.chars), key=lambda n: n.total, default=None)
+        if best is not None and best.total > 0:
+            assert any(r.total == best.total or r in ancestors(best) for r in roots)
+        assert not any(r in ancestors(q) for r in roots for q in roots)
+
+
+def ancestors(n):
+    out = []
+    while n.parent is not None:
+        n = n.parent
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("page", ['<a title="x ' * 80_000, "<a " * 300_000, "<div class=x>" * 60_000 + "</b>" * 60_000, "<p><div>" * 60_000, "<!x" * 200_000])
+def test_malformed_pages_take_linear_time(page):
+    import time
+
+    started = time.process_time()
+    html_density.main_text(page + "end")
+    assert time.process_time() - started < 8
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     more = spark.createDataFrame([(None, None, None), (5, "u", "")], pages.schema)

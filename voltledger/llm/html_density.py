@@ -5,17 +5,24 @@ and those inside links; its composite density is the characters per tag, adjuste
 by how much of them is link text. Nodes are ranked by the sum of their children's
 densities. The node with the largest sum is the main subtree; the smallest density
 on its path to the body is the threshold, and what lies beside that path comes
-along if it is as dense, or a heading. An ``article`` or ``main`` element around
-the subtree is taken whole. Parts that are marked as something else (menus, forms,
-adverts, comments, ...) are left out wherever they stand.
+along if it is as dense, or a heading. Where the subtree lies in a ``main`` or, without that, an
+``article``, the outermost one is its bound: that is taken as a whole, since a page says so itself, and
+beside its path only headings of the first rank and other articles that reach the threshold are.
 
-Each page is a row of its own; tasks see batches of rows and no page meets another.
+Parts that are marked as something else (menus, forms, adverts, comments, ...) are left out wherever they
+stand: by element, role or being hidden, and by their names. In an article only whole class names count, or
+those of reader comments; headings and what holds an article's only ``h1`` are never left out by name.
+
+Each page is a row of its own; tasks see batches of rows and no page meets another. Malformed pages are
+repaired as browsers commonly do, in time that grows with their length: a tag that never ends is text, and
+after ``TORN`` of them quotes in a tag that never ends are no longer looked for beyond the next ``<``.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import e, log
 
@@ -23,9 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_NAME = r"<(/?)([a-zA-Z][^\s/<>]*)"
+#: A tag whose quoted values hold no tag; one whose values may; what is no element.
+_TAG = re.compile(_NAME + r"((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>")
+_LOOSE_TAG = re.compile(_NAME + r"((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>", re.S)
+TORN = 16
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -60,85 +70,138 @@ _WORDS = re.compile(
 )
 
 
+#: Class names and ids of reader comments.
+_COMMENTS = re.compile(r"comments?(?:[-_](?:area|box|feed|form|list|section|thread|wrapper))?|commentlist|disqus(?:_thread)?|respond", re.I)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "other", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "parts", "other", "named", "within", "chars", "tags", "link_chars", "link_tags", "density", "total",
+    )
 
-    def __init__(self, tag: str, parent: Node | None, other: bool = False) -> None:
-        self.tag, self.parent, self.other = tag, parent, other
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent = tag, parent
+        self.other = self.named = False  # something else in itself, by its name
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
         self.parts: list[Node | str] = []
 
 
-def _is_other(tag: str, attributes: str, inside: Node) -> bool:
-    if tag in _OTHER:
-        return True
-    within = inside
-    while within is not None and within.tag not in ("article", "main"):
-        within = within.parent
-    if tag == "header":
-        return within is None
+def _judge(node: Node, attributes: str) -> None:
+    """Whether an element is something else than main text, in itself or by its name."""
+    tag = node.tag
+    if tag in _OTHER or tag == "header" and not node.within:
+        node.other = True
+        return
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return
     at = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         at.setdefault(name.lower(), next((v for v in values if v), ""))
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
-        return True
-    named = f"{at.get('class', '')} {at.get('id', '')}"
-    return at.get("role", "").lower() in _ROLES or bool(named.strip() and _WORDS.search(named))
+    node.other = (
+        "hidden" in at
+        or at.get("aria-hidden", "").lower() == "true"
+        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I) is not None
+        or at.get("role", "").lower() in _ROLES
+    )
+    if tag in _HEADINGS:
+        return
+    classes, ident = at.get("class", ""), at.get("id", "")
+    if node.within:
+        whole = any(_WORDS.fullmatch(c) or _COMMENTS.fullmatch(c) for c in classes.split())
+        node.named = whole or _COMMENTS.fullmatch(ident) is not None
+    else:
+        node.named = _WORDS.search(f"{classes} {ident}") is not None
 
 
 def parse(page: str) -> Node:
     """The element tree; unclosed and stray tags are repaired as browsers commonly do."""
     root = node = Node("html", None)
-    at = 0
-    raw: str | None = None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    opened: Counter[str] = Counter()  # tags of the open elements
+    at = look = torn = 0
+
+    def leave(upto: Node) -> None:
+        nonlocal node
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    while (look := page.find("<", look)) >= 0:
+        m = _TAG.match(page, look) or _ASIDE.match(page, look)
+        if not m and torn < TORN and page[look + 1 : look + 2].isalpha():
+            m = _LOOSE_TAG.match(page, look)
+            torn += not m
+        if not m:
+            look += 1
             continue
-        if m.start() > at:
-            node.parts.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        closing, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3)
-        if not tag:
+        if look > at:
+            node.parts.append(html.unescape(page[at:look]))
+        at = look = m.end()
+        if m.re is _ASIDE:
             continue
+        closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                # A cell or item isn't closed by what closes outside of it but inside its parent.
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    # A cell or item isn't closed by what closes outside of it but inside its parent.
+                    up = up.parent
+                leave(up.parent)
             continue
         if tag in ("html", "body", "head"):
             if tag == "html":
                 continue
-            while node.parent is not None:
-                node = node.parent
+            leave(root)
         elif tag in _ENDS or tag in _ENDS_P:
             closes, border = _ENDS.get(tag, (frozenset(["p"]), frozenset(["button", "table", "td", "th", "li"])))
-            up, last = node, None
-            while up is not None and up.tag not in border:
-                if up.tag in closes:
-                    last = up
-                up = up.parent
-            if last is not None and last.parent is not None:
-                node = last.parent
-        child = Node(tag, node, node.other or _is_other(tag, attributes, node))
+            sought = sum(opened[c] for c in closes)
+            if sought:
+                up, last = node, None
+                while sought and up is not None and up.tag not in border:
+                    if up.tag in closes:
+                        last = up
+                        sought -= 1
+                    up = up.parent
+                if last is not None:
+                    leave(last.parent)
+        child = Node(tag, node)
+        _judge(child, attributes)
         node.parts.append(child)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             raw = page[at : end.start() if end else len(page)]
             child.parts.append(html.unescape(raw) if tag in ("title", "textarea") else raw)
-            at = end.end() if end else len(page)
+            at = look = end.end() if end else len(page)
         elif tag not in _VOID and not attributes.rstrip().endswith("/") or tag in _BLOCK:
             node = child
+            opened[tag] += 1
     if at < len(page):
         node.parts.append(html.unescape(page[at:]))
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """What lies in something else is something else; names give way to an article's only ``h1``."""
+    nodes = _walk(root)
+    plain, spared = 0, []
+    hidden: dict[int, tuple[bool, bool]] = {}  # in something else in itself, in something by name
+    for n in nodes:
+        inside, by_name = hidden[id(n.parent)] if n.parent is not None else (False, False)
+        hidden[id(n)] = (inside or n.other, by_name or n.named)
+        if n.tag == "h1" and not hidden[id(n)][0]:
+            if hidden[id(n)][1]:
+                spared.append(n)
+            else:
+                plain += 1
+    if not plain and len(spared) == 1 and spared[0].within:
+        up = spared[0]
+        while up is not None and up.within:
+            up.named = False
+            up = up.parent
+    for n in nodes:
+        n.other = n.other or n.named or (n.parent is not None and n.parent.other)
+
+
 def _walk(root: Node) -> list[Node]:
     """Nodes before their descendants, without recursion."""
     out, todo = [], [root]
@@ -184,27 +247,29 @@ def main_nodes(root: Node) -> list[Node]:
     best = max(nodes, key=lambda n: (n.total, n.density, n.tag not in ("html",)))
     if best.total <= 0:  # text without elements
         best = top
-    whole = None
-    up: Node | None = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            whole = up
-            if up.tag == "article":
-                break
-        up = up.parent
-    if whole is not None:
-        return [whole]
     path, up = [], best
     while up is not None:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path if n.chars)
-    taken = {id(best)}
-    for node in path[1:]:
+    bound = next((n for n in reversed(path) if n.tag == "main"), None) or next(
+        (n for n in reversed(path) if n.tag == "article"), None
+    )
+    core = bound or best
+    taken = {id(core)}
+    above = path[path.index(core) + 1 :]
+    for node in above:
         for p in node.parts:
-            if isinstance(p, Node) and not p.other and (p.tag in _HEADINGS or p.density >= threshold > 0):
+            if not isinstance(p, Node) or p.other:
+                continue
+            dense = p.density >= threshold > 0
+            if bound is not None:
+                fits = p.tag == "h1" or p.tag == bound.tag == "article" and dense
+            else:
+                fits = p.tag in _HEADINGS or dense
+            if fits:
                 taken.add(id(p))
-    taken -= {id(n) for n in path[1:]}
+    taken -= {id(n) for n in above}
     return [n for n in _walk(root) if id(n) in taken]
 
 
