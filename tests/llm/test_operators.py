@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,60 @@ def test_notices_are_found_by_their_key_phrases(spark):
     assert got[len(texts) - 2] == [""] and got[len(texts) - 1] == [""]
 
 
+def scanned(texts):
+    """Labels and score by text, each start of each template tried."""
+    words = [TERM.findall(lower(t)) for t in texts]
+    weights = {w: math.log((len(texts) + 1) / (sum(w in set(ws) for ws in words) + 0.5)) for w in license_scan.vocabulary()}
+    templates = [(label, phrase.split(), [phrase], True) for phrase, label in license_scan.BASE.items()]
+    templates += [(label, text.split(), keys, False) for label, text, keys in license_scan.NOTICES]
+    out = []
+    for ws in words:
+        labels, score = set(), 0.0
+        for label, want, keys, base in templates:
+            total = sum(weights[w] for w in want)
+            rare = sorted(range(len(want)), key=lambda i: (-weights[want[i]], i))[: 1 if base else license_scan.RARE]
+            must = [(i, k.split()) for k in keys for i in [f" {' '.join(want)} ".index(f" {k} ")]]
+            must = [(len(" ".join(want)[:i].split()), k) for i, k in must]
+            for start in range(-len(want), len(ws)):
+                same = [0 <= start + i < len(ws) and ws[start + i] == w for i, w in enumerate(want)]
+                share = sum(weights[w] for w, s in zip(want, same) if s) / total
+                if not all(all(same[i : i + len(k)]) for i, k in must) or sum(same[i] for i in rare) < (1 if base else license_scan.AGREE):
+                    continue
+                if base or share >= license_scan.COVER:
+                    labels.add(label)
+                    score = max(score, 1.0 if base else min(share, 1.0))
+        out.append((",".join(sorted(labels)), round(score, 6)))
+    return out
+
+
+@pytest.mark.parametrize("part", [5, 256])
+def test_notices_are_those_of_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(license_scan, "PART", part)
+    draw = np.random.default_rng(5)
+    filler = [*license_scan.vocabulary()[:40], "x", "y", "z"]
+    texts = ["", "license", "mit license " * 9]
+    for _ in range(60):
+        words = []
+        for _ in range(draw.integers(1, 4)):
+            words += draw.choice(filler, draw.integers(0, 30)).tolist()
+            notice = license_scan.NOTICES[draw.integers(len(license_scan.NOTICES))][1].split()
+            words += [w if draw.random() > 0.06 else "odd" for w in notice]
+        texts.append(" ".join(words[draw.integers(0, 4) :]))  # some are cut at the start
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    want = scanned(texts)
+    assert [got[i][0] for i in range(len(texts))] == [w[0] for w in want] and any("," in w[0] for w in want)
+    assert [got[i][1] for i in range(len(texts))] == pytest.approx([w[1] for w in want], abs=2e-6)
+
+
+def test_a_text_of_a_million_words_is_scanned_in_linear_time(spark):
+    docs = spark.sql("select 1L as doc_id, repeat('mit license a b ', 250000) as text")
+    since = time.monotonic()
+    (row,) = license_scan.scan(docs).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (1000000, 250000, 0, 999996)
+    assert time.monotonic() - since < 60
+
+
 # 3
 
 

@@ -49,6 +49,7 @@ NOTICES = (
 RARE = 4  # indexed words of a notice
 AGREE = 2  # index words that must propose the same start
 COVER = 0.75  # least share of a notice's IDF weight found in place
+PART = 256  # words in a part of a text
 
 
 def _find(words: list[str], phrase: str) -> int:
@@ -61,6 +62,31 @@ def vocabulary() -> list[str]:
     return sorted({w for t in texts for w in t.split()})
 
 
+def reach() -> int:
+    """How far from a word of a template its other words can stand."""
+    return max(len(t.split()) for t in [*BASE, *(n[1] for n in NOTICES)]) - 1
+
+
+def parts_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Texts cut into parts of ``PART`` words: keys, words, first (place in the text of the first one), own.
+
+    A part also has the words around it that a template can reach; of its places those
+    from ``own`` on, ``PART`` of them, are its own. So each place is owned once and no row has more
+    than a part of a text, whatever the text's length.
+    """
+    near = reach()
+    first = lambda c: F.greatest(c - near, F.lit(0))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PART)),
+        lambda c: F.struct(
+            first(c).alias("first"),
+            (c - first(c)).alias("own"),
+            F.slice("words", first(c) + 1, c - first(c) + PART + near).alias("words"),
+        ),
+    )
+    return rows.select(*keys, F.explode_outer(cut).alias("part")).select(*keys, "part.*")
+
+
 def idf(files: DataFrame) -> dict[str, float]:
     """Inverse document frequency of the template words over ``files`` (column ``known``: distinct ones)."""
     n = files.count()
@@ -90,7 +116,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts are empty: no words, empty labels, score 0. The score is the
-    largest IDF-weighted share of a held notice or phrase; a base phrase has 1.
+    largest IDF-weighted share of a held notice or phrase; a base phrase has 1. Equal rows
+    give equal rows, one each; time grows with a text's length, however long.
     """
     spark = docs.sparkSession
     k1, k2 = row_keys(docs)
@@ -120,12 +147,12 @@ def scan(docs: DataFrame) -> DataFrame:
         F.exists("words", lambda w: w.isin(rare)),
         F.filter(
             F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-            lambda x: x.word.isin(rare),
+            lambda x: x.word.isin(rare) & (x.at >= F.col("own")) & (x.at < F.col("own") + PART),
         ),
     )
     hits = (
-        base.select("k1", "k2", terms(F.col("text")).alias("words"))
-        .select("k1", "k2", "words", F.explode_outer(places).alias("on"))  # outer: no filter is inferred
+        parts_of(base.select("k1", "k2", terms(F.col("text")).alias("words")), "k1", "k2")
+        .select("k1", "k2", "words", "first", F.explode_outer(places).alias("on"))  # outer: no filter is inferred
         .join(F.broadcast(postings), F.col("on.word") == F.col("word"))  # a row per indexed word
         .withColumn("start", F.col("on.at") - F.col("place"))
         .where(
@@ -141,17 +168,19 @@ def scan(docs: DataFrame) -> DataFrame:
         lambda a, x: a + x,
     )
     starts = (
-        hits.select("k1", "k2", "template", "start", "place", "label", "base", "least", share.alias("share"))
+        hits.select(
+            "k1", "k2", "template", (F.col("first") + start).alias("began"), "place", "label", "base", "least", share.alias("share")
+        )  # not named start, which would be taken for the one in the share's lambda
         .where(F.col("base") | (F.col("share") >= COVER))
-        .groupBy("k1", "k2", "template", "start", "label", "base", "least")
+        .groupBy("k1", "k2", "template", "began", "label", "base", "least")
         .agg(F.countDistinct("place").alias("agree"), F.max("share").alias("share"))
         .where("agree >= least")
     )
     own = F.col("base")
     found = starts.groupBy("k1", "k2").agg(
         F.count_if(own).alias("n_base"),
-        F.min(F.when(own, start)).cast("long").alias("first_word"),
-        F.max(F.when(own, start)).cast("long").alias("last_word"),
+        F.min(F.when(own, F.col("began"))).cast("long").alias("first_word"),
+        F.max(F.when(own, F.col("began"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(own, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max(F.when(own, 1.0).otherwise(F.least("share", F.lit(1.0)))).alias("score"),
