@@ -558,6 +558,7 @@ QUERIES = {
         )})""",
     "overpayment_by_supplier": _split("supplier"),
     "overpayment_by_supplier_year": _split("supplier, year_charge"),
+    "overpayment_after_changes": _split("supplier, year_charge"),
     "avg_premium_by_supplier_year": f"SELECT {_PREMIUM} FROM rc GROUP BY supplier, year_charge",
     "overpayment_by_zip": "SELECT * FROM by_zip",
     "overpayment_by_zip_year": "SELECT * FROM by_zip_year",

@@ -20,8 +20,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltledger import schemas
-from voltledger.operators import accepted, conform_amenities, conform_bills, conform_landed, rejected, stack
+from voltledger.operators import (
+    accepted,
+    additive,
+    clean_bills,
+    compare_rates,
+    conform_amenities,
+    conform_bills,
+    conform_landed,
+    merged,
+    rejected,
+    stack,
+)
 from voltledger.plans import Inputs
+from voltledger.plans.inputs import CELL_KEYS
 from voltledger.session import ends_with_session, shared_folder, small_methods
 from voltledger.sources import (
     AMENITY_SPECS,
@@ -355,6 +367,28 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack(bad).groupBy("load", "load_errors").agg(F.count("*").alias("count"))
 
 
+def changed_bills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bills as first delivered, those that came later and those that were taken back.
+
+    A tenth of all bills is late, and of another tenth the first delivery has other kWh and customers. The
+    first delivery without the last ones and with the late ones makes up ``bills``.
+    """
+    rows = inputs(spark, sf_dir).bills
+    tenth = F.pmod(F.xxhash64(*rows.columns), F.lit(10))
+    wrong = rows.where(tenth == 1).withColumns(
+        {"totalkwh": (F.col("totalkwh") + 7).cast("decimal(10,1)"), "num_customers": F.nullif(F.col("num_customers") + 1, F.lit(3))}
+    )
+    return rows.where(tenth > 1).unionByName(wrong), rows.where(tenth < 2), wrong
+
+
+def after_changes(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Inputs whose cells come from the first delivery's cells and the changes."""
+    t = inputs(spark, sf_dir)
+    first, added, removed = (compare_rates(clean_bills(b), t.rate_sheet) for b in changed_bills(spark, sf_dir))
+    sides = added.withColumn("side", F.lit(1)).unionByName(removed.withColumn("side", F.lit(-1)))
+    return t.replaced(cells=merged(additive(first, CELL_KEYS), additive(sides, [*CELL_KEYS, "side"]), CELL_KEYS))
+
+
 def green(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on a green choice; raw, so postal codes play no part."""
     return green_usage(raw_green(spark, sf_dir))

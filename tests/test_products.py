@@ -14,9 +14,9 @@ import __spark_entry__ as entry
 import oracles
 import standins
 from voltledger import schemas
-from voltledger.operators import additive, per_unit_split, premium, split
-from voltledger.plans import PRODUCTS, ordered, product, publish, published, reads, store_layers
-from voltledger.sources import write_report
+from voltledger.operators import additive, merged, per_unit_split, premium, split
+from voltledger.plans import PRODUCTS, ordered, product, publish, publish_changes, published, reads, store_layers
+from voltledger.sources import read_entry, write_report
 
 
 @pytest.fixture(scope="module")
@@ -324,6 +324,77 @@ def test_one_year_anew_writes_no_file_of_the_others(spark, tables, tmp_path):
     assert snapshot(spark, folder, names) == snapshot(spark, str(whole), names)
 
 
+def test_changes_give_what_all_bills_give(spark, sf_dir, tables, tmp_path):
+    folder = str(tmp_path / "changed")
+    whole, entries = store_layers(spark, tables, str(tmp_path / "whole"))
+    asked = {n: reads(PRODUCTS[n], whole) for n in PRODUCTS}
+    from_cells = [n for n in PRODUCTS if asked[n] & {"cells", "terms", "premiums"} and not asked[n] & {"bills", "cleaned", "comparison"}]
+    assert len(from_cells) >= 20
+    names = [*from_cells, "wtd_avg_rates", "acs_income"]
+    first, added, removed = standins.changed_bills(spark, sf_dir)
+    publish(spark, tables.replaced(bills=first), folder, names)
+    before = published(spark, folder)
+    t = tables.replaced(bills=first.where("false"))  # no bill but the changed ones can be read
+    assert publish_changes(spark, t, folder, "march", added, removed)
+    after = published(spark, folder)
+    for layer in ("cells", "terms", "premiums"):
+        got, want = product(spark, folder, layer), read_entry(spark, entries[layer])
+        assert table(got.columns, got.collect()) == table(want.columns, want.collect())
+    for name, got in snapshot(spark, folder, from_cells).items():
+        want = PRODUCTS[name](whole)
+        assert got == table(want.columns, want.collect()), name
+    assert after["layers"]["cleaned_bills"] == before["layers"]["cleaned_bills"]
+    assert after["products"]["acs_income"] == before["products"]["acs_income"]
+    assert after["behind"]["tables"] == ["cleaned_bills", "rate_comparison", "wtd_avg_rates"] and len(after["behind"]["years"]) > 2
+    # Once more adds nothing; bills that were never there can't be taken away; both leave the version.
+    assert not publish_changes(spark, t, folder, "march", added, removed)
+    with pytest.raises(Exception, match="cells do not have"):
+        publish_changes(spark, t, folder, "april", removed=removed)
+    assert published(spark, folder) == after
+    with pytest.raises(ValueError, match="publish those years too"):
+        publish(spark, tables, folder, names, years=["2019"])
+    publish(spark, tables, folder, ["wtd_avg_rates"])
+    assert published(spark, folder)["behind"] == {"years": [], "tables": []}
+    assert not publish_changes(spark, t, folder, "march", added, removed)
+
+
+def test_changes_of_one_year_write_no_file_of_the_others(spark, tables, tmp_path):
+    folder, names = str(tmp_path), ["overpayment_by_zip_year", "overpayment_by_year"]
+    publish(spark, tables, folder, names)
+    old = parquet_files(tmp_path)
+    late = tables.bills.where("year_charge = '2020'").limit(50)
+    publish_changes(spark, tables, folder, "late", added=late)
+    new = parquet_files(tmp_path) - old
+    assert old <= parquet_files(tmp_path)
+    assert any("year_charge=2020" in f for f in new)
+    assert not [f for f in new if "year_charge=" in f and "year_charge=2020" not in f]
+    publish(spark, tables.replaced(bills=tables.bills.unionAll(late)), str(tmp_path / "whole"), names)
+    assert snapshot(spark, folder, names) == snapshot(spark, str(tmp_path / "whole"), names)
+
+
+def test_merged_cells_are_those_of_the_bills_that_stay(spark):
+    """Any bills, any of them taken away: missing values, zeros, repeated rows and emptied cells included."""
+    draw = random.Random(11)
+    schema = "k string, overpayment_e7 bigint, num_customers int, totalkwh decimal(18,1)"
+    rows = [
+        (draw.choice("ab") if draw.random() > 0.1 else None, draw.choice([None, -4, -1, 0, 3, 9]), draw.choice([None, 0, 1, 2]), draw.choice([None, Decimal("0.0"), Decimal("2.5")]))
+        for _ in range(400)
+    ]
+    base, late = rows[:300], rows[300:]
+    for gone in (draw.sample(base, 120), base, []):
+        stay = list(base)
+        for r in gone:
+            stay.remove(r)
+        df = lambda r: spark.createDataFrame(r, schema)
+        sides = df(late).withColumn("side", F.lit(1)).unionAll(df(gone).withColumn("side", F.lit(-1)))
+        got = merged(additive(df(base), ["k"]), additive(sides, ["k", "side"]), ["k"])
+        want = additive(df(stay + late), ["k"])
+        assert got.dtypes == want.dtypes and table(got.columns, got.collect()) == table(want.columns, want.collect())
+    never = df([("z", 1, 1, Decimal("1.0"))]).withColumn("side", F.lit(-1))
+    with pytest.raises(Exception, match="cells do not have"):
+        merged(additive(df(base), ["k"]), additive(never, ["k", "side"]), ["k"]).collect()
+
+
 def test_products_say_what_they_read(tables):
     assert reads(PRODUCTS["acs_income"], tables) == {"income"}
     assert reads(PRODUCTS["overpayment_by_year"], tables) == {"bills", "rate_sheet"}

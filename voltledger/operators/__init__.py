@@ -27,12 +27,13 @@ from voltledger.operators.conform import (
 )
 from voltledger.operators.geo import attach_area, by_membership, keep_in, rollup_geo
 from voltledger.operators.merge import merge_full
-from voltledger.operators.overpay import additive, kwh, net, per_unit_split, premium, split
+from voltledger.operators.overpay import MEASURES, additive, kwh, merged, net, per_unit_split, premium, split
 from voltledger.operators.rates import compare_rates, standard_rates, weighted_avg
 from voltledger.operators.reports import control_totals, report, top_bottom, with_total
 
 __all__ = [
     "accepted",
+    "MEASURES",
     "additive",
     "attach_area",
     "band_label",
@@ -54,6 +55,7 @@ __all__ = [
     "exceed_totals",
     "keep_in",
     "kwh",
+    "merged",
     "land",
     "merge_full",
     "net",

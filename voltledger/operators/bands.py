@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltledger.operators.overpay import additive
+
 
 def band_number(column: str, width: int) -> Column:
     """Number of the band of ``width`` a whole number falls in, from 0."""
@@ -66,12 +68,12 @@ def threshold_cells(
 ) -> DataFrame:
     """Sums of ``weight`` by keys and ``exceeded``, the number of the rising ``thresholds`` a row exceeds.
 
-    A row without a value exceeds none. Cells add up, as rows do.
+    A row without a value exceeds none. Cells add up, as rows do; see ``additive`` for what shares one.
     """
     limits = [F.lit(str(t)).cast("decimal(18,6)") for t in thresholds]
     over = [F.coalesce((F.col(column) > limit).cast("int"), F.lit(0)) for limit in limits]
     exceeded = reduce(add, over)
-    return df.groupBy(*keys, exceeded.alias("exceeded")).agg(F.sum(weight).alias(weight))
+    return additive(df.withColumn("exceeded", exceeded), [*keys, "exceeded"], [weight])
 
 
 def exceed_totals(cells: DataFrame, labels: Sequence[str], weight: str, label: str, total: str) -> DataFrame:

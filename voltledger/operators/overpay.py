@@ -27,7 +27,11 @@ def kwh(where: Column | None = None, strict: bool = False) -> Column:
 MEASURES = ("overpayment_e7", "num_customers", "totalkwh")
 
 
-def additive(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _signs(measures: Sequence[str]) -> list[Column]:
+    return [F.signum(F.col(m).cast("double")).alias(f"_sign_{m}") for m in measures]
+
+
+def additive(df: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Compared bills added up to cells that every aggregate here takes for bills.
 
     Rows share a cell only if each measure has the same sign in them, or is missing
@@ -36,12 +40,40 @@ def additive(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing value makes missing give the same values over cells as over rows. Counts
     of rows do not, nor do conditions on other amounts.
 
+    ``n_bills`` is the number of a cell's rows, by which ``merged`` knows when it is empty.
+
     A cell's overpayment is one long, enough for 9 * 10**11 dollars; beyond that the
     sum fails.
     """
-    signs = [F.signum(F.col(m).cast("double")).alias(f"_sign_{m}") for m in MEASURES]
-    cells = df.groupBy(*keys, *signs).agg(*[F.sum(m).alias(m) for m in MEASURES])
-    return cells.select(*keys, *MEASURES)
+    cells = df.groupBy(*keys, *_signs(measures)).agg(
+        *[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("n_bills")
+    )
+    return cells.select(*keys, *measures, "n_bills")
+
+
+def merged(cells: DataFrame, changes: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """``cells`` after bills came and went, without the bills that stay.
+
+    ``changes`` are cells by ``keys`` and ``side``: 1 for bills that came, -1 for those that went; a corrected
+    bill went as it was and came as it is. Signs are those of the bills, so what went meets the very cell that it
+    was added to, and a cell without a bill left is gone. The result equals ``additive`` of the bills as they are.
+
+    It fails where bills went that were never there: where a cell would have less than no bill, an amount
+    without a bill, or an amount of another sign than its bills.
+    """
+    names = [f"_sign_{m}" for m in measures]
+    rows = cells.withColumn("side", F.lit(1)).unionByName(changes.select(*keys, *measures, "n_bills", "side"))
+    sums = [F.sum(F.col(m) * F.col("side")).alias(m) for m in (*measures, "n_bills")]
+    out = rows.groupBy(*keys, *_signs(measures)).agg(*sums)
+    none = F.col("n_bills") == 0
+    bad = F.col("n_bills") < 0
+    for m, sign in zip(measures, names):
+        now = F.signum(F.col(m).cast("double"))
+        bad = bad | (none & (now != 0)) | (~none & (now != F.col(sign)))
+    what = F.lit("bills were taken away that the cells do not have")
+    counted = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(what).cast("long")).otherwise(F.col("n_bills"))
+    kept = out.withColumn("n_bills", counted).where("n_bills != 0")
+    return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cells.schema])
 
 
 def split(

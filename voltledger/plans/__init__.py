@@ -1,7 +1,7 @@
 from voltledger.plans.ingest import ingest, load_rejects, stored_inputs
 from voltledger.plans.inputs import Inputs
 from voltledger.plans.products import PRODUCTS
-from voltledger.plans.publish import ordered, product, publish, published, reads, store_layers
+from voltledger.plans.publish import ordered, product, publish, publish_changes, published, reads, store_layers
 
 __all__ = [
     "PRODUCTS",
@@ -11,6 +11,7 @@ __all__ = [
     "ordered",
     "product",
     "publish",
+    "publish_changes",
     "published",
     "reads",
     "store_layers",

@@ -27,6 +27,8 @@ DERIVED = ("cleaned", "comparison", "cells", "terms", "premiums")
 CELL_KEYS = ("supplier", "edc", "zipcode", "year_charge", "year_half")
 TERM_KEYS = ("edc", "month_commencement", "contractterm")
 
+PREMIUM_KEYS = ("year_charge", "exceeded")
+
 # Premiums in dollars per kWh above which bills are counted, rising.
 PREMIUM_STEPS = ("0.02", "0.05", "0.10", "0.15")
 

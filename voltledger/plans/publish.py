@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltledger.operators import additive, clean_bills, compare_rates
-from voltledger.plans.inputs import CELL_KEYS, DERIVED, TERM_KEYS, Inputs, premium_cells
+from voltledger.operators import MEASURES, additive, clean_bills, compare_rates, merged, threshold_cells
+from voltledger.plans.inputs import CELL_KEYS, DERIVED, PREMIUM_KEYS, PREMIUM_STEPS, TERM_KEYS, Inputs, premium_cells
 from voltledger.plans.products import PRODUCTS
 from voltledger.sources import commit, committed, entry, read_entry, write_by_year, write_report
 
@@ -125,6 +125,7 @@ def store_layers(
     cells = stored(additive(comparison, CELL_KEYS), "cells")
     premiums = stored(premium_cells(comparison), "premiums")
     terms = stored(additive(comparison, TERM_KEYS), "terms", by=None)
+    stored(t.rate_sheet, "rate_sheet", by=None)  # what later changes are compared with
     return t.replaced(cleaned=cleaned, comparison=comparison, cells=cells, terms=terms, premiums=premiums), entries
 
 
@@ -157,7 +158,8 @@ def publish(
 
     With ``years`` only the bills of those years have changed since the last version. Layers and products
     that are kept by year get new files for those years alone; products that read no bills, and those not
-    asked for, stay as they are. Which products read bills is found from the products (``reads``).
+    asked for, stay as they are. Which products read bills is found from the products (``reads``). Years that
+    ``publish_changes`` left behind must be among them.
 
     The cleansed bills and the comparison are their layers' tables and not written
     again; the comparison is also delivered as ``;`` text, in as many files as its
@@ -168,12 +170,16 @@ def publish(
     last = published(spark, folder)
     if years and last is None:
         raise ValueError(f"{folder}: years can be published anew only where a version is")
+    behind = last.get("behind", {"years": [], "tables": []}) if last else {"years": [], "tables": []}
+    if years and (left := set(behind["years"]) - set(years)):
+        raise ValueError(f"{folder}: changes were published for {sorted(left, key=str)}, publish those years too")
+    products = list(products or PRODUCTS)
     number = last["number"] + 1 if last else 1
     root = f"{folder}/data/{number:08d}-{uuid.uuid4().hex}"
     layered, layers = store_layers(spark, t, f"{root}/layers", years, last and last["layers"])
     tables = dict(last["products"]) if last else {}
     reports = dict(last["reports"]) if last else {}
-    for name in products or PRODUCTS:
+    for name in products:
         if years and name in tables and not reads(PRODUCTS[name], layered) & OF_BILLS:
             continue
         if name == "rate_comparison":
@@ -188,7 +194,108 @@ def publish(
         if name not in LAYERS:
             reports[name] = f"{root}/reports/{name}"
             write_report(ordered(name, read_entry(spark, tables[name])), reports[name])
-    content = {"number": number, "layers": layers, "products": tables, "reports": reports}
+    stale = [n for n in behind["tables"] if n not in products and n not in layers]
+    content = {
+        "number": number,
+        "layers": layers,
+        "products": tables,
+        "reports": reports,
+        "changes": last.get("changes", []) if last else [],
+        "behind": {"years": [], "tables": stale},
+    }
+    _commit_version(spark, folder, content)
+    return layered
+
+
+def _commit_version(spark: SparkSession, folder: str, content: dict) -> None:
+    number = content["number"]
     if not commit(spark, f"{folder}/versions", f"{number:08d}", content):
         raise RuntimeError(f"{folder}: version {number} was published by another run")
-    return layered
+
+
+# Layers kept by signed cells, not bill by bill: keys, measures and how changed bills become cells.
+_CHANGED = {
+    "cells": (CELL_KEYS, MEASURES, lambda df: additive(df, [*CELL_KEYS, "side"])),
+    "terms": (TERM_KEYS, MEASURES, lambda df: additive(df, [*TERM_KEYS, "side"])),
+    "premiums": (
+        PREMIUM_KEYS,
+        ("num_customers",),
+        lambda df: threshold_cells(df, ["year_charge", "side"], "rate_difference", PREMIUM_STEPS, "num_customers"),
+    ),
+}
+
+
+def publish_changes(
+    spark: SparkSession,
+    t: Inputs,
+    folder: str,
+    batch: str,
+    added: DataFrame | None = None,
+    removed: DataFrame | None = None,
+) -> bool:
+    """Publish late and corrected bills as a version of their own, without reading the bills before.
+
+    ``added`` and ``removed`` are conformed bills: late ones are added, a corrected one is removed as it was and
+    added as it is. They are cleansed and compared like all bills, with the rate sheet of the last version, and
+    become signed cells, which are added to the last version's; of cells kept by year only
+    the years concerned are read and written. Products that read cells and no bills are written anew.
+
+    Row-level layers and products that read them stay as they were; the commit names them and the years under
+    ``behind``, until ``publish`` writes them from bills that have the changes. A
+    batch counts once, with its version; False if it was there already, and then nothing changes.
+    It fails, and changes nothing, if bills are removed that the cells do not have.
+    """
+    last = published(spark, folder)
+    if last is None:
+        raise ValueError(f"{folder}: changes need a version to change")
+    if batch in last.get("changes", []):
+        return False
+    number = last["number"] + 1
+    root = f"{folder}/data/{number:08d}-{uuid.uuid4().hex}"
+    old = last["layers"]
+    rates = read_entry(spark, old["rate_sheet"])
+    for name, bills, side in (("added", added, 1), ("removed", removed, -1)):
+        if bills is not None:
+            compared = compare_rates(clean_bills(bills), rates).withColumn("side", F.lit(side))
+            compared.write.parquet(f"{root}/changes/side={name}")
+    sides = [n for n, df in (("added", added), ("removed", removed)) if df is not None]
+    if not sides:
+        raise ValueError(f"batch {batch}: no bills were added or removed")
+    changes = spark.read.parquet(*[f"{root}/changes/side={n}" for n in sides])
+    # A handful of values, however many bills.
+    found = [r.year_charge for r in changes.select("year_charge").distinct().collect()]
+    years = None if None in found else sorted(found)
+    layers = dict(old)
+    for name, (keys, measures, cells_of) in _CHANGED.items():
+        by = old[name]["by"]
+        cells = read_entry(spark, old[name])
+        if by and years is not None:
+            cells = cells.where(F.col(by).isin(years))
+        after = merged(cells, cells_of(changes), keys, measures)
+        layers[name] = _written(spark, after, f"{root}/layers/{name}", by, years if by else None, old[name])
+    read = {n: read_entry(spark, layers[n]) for n in _CHANGED}
+    rows = {"cleaned": read_entry(spark, old["cleaned_bills"]), "comparison": read_entry(spark, old["rate_comparison"])}
+    layered = t.replaced(**read, **rows)
+    tables, reports = dict(last["products"]), dict(last["reports"])
+    stale = {"cleaned_bills", "rate_comparison", *last.get("behind", {}).get("tables", [])}
+    for name in tables:
+        if name in STORED_LAYERS or (asked := reads(PRODUCTS[name], layered)) & {"bills", "cleaned", "comparison"}:
+            stale.add(name)
+        elif asked & set(_CHANGED):
+            df = ordered(name, PRODUCTS[name](layered))
+            by = BY_YEAR.get(name)
+            tables[name] = _written(spark, df, f"{root}/products/{name}", by, years if by else None, tables[name])
+            reports[name] = f"{root}/reports/{name}"
+            write_report(ordered(name, read_entry(spark, tables[name])), reports[name])
+            stale.discard(name)
+    pending = set(last.get("behind", {}).get("years", [])) | set(found)
+    content = {
+        "number": number,
+        "layers": layers,
+        "products": tables,
+        "reports": reports,
+        "changes": [*last.get("changes", []), batch],
+        "behind": {"years": sorted(pending, key=str), "tables": sorted(stale)},
+    }
+    _commit_version(spark, folder, content)
+    return True
