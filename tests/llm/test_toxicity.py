@@ -34,3 +34,26 @@ def test_without_labels_only_insults_are_toxic(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (None, none):
         assert {r.doc_id: r.toxic for r in weak_labels.classify(docs, labels=labels).collect()} == {1: True, 2: False}
+
+
+def test_clashing_labels_and_repeated_ids_are_taught_alike(spark):
+    texts = [(i, f"{'foulish' if i % 2 else 'fair'} word{i % 7} filler") for i in range(200)]
+    marks = [(i, i % 2) for i in range(200)]
+    again = [(i, f"other text of {i}") for i in range(0, 200, 3)]
+    clash = [(i, 1 - i % 2) for i in range(0, 200, 5)]
+    docs = lambda rows, n: spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+    labels = lambda rows, n: spark.createDataFrame(rows, "doc_id long, toxic int").repartition(n)
+    want = toxicity.learn(docs(texts + again, 2), labels(marks + clash, 2))
+    got = toxicity.learn(docs((texts + again)[::-1], 7), labels((marks + clash)[::-1], 5))
+    assert vars(got) == vars(want)
+    # Ids whose labels clash teach nothing.
+    left = {i for i, _ in clash}
+    rest = [m for m in marks if m[0] not in left]
+    assert vars(toxicity.learn(docs(texts + again, 2), labels(rest, 2))) == vars(want)
+
+
+def test_reruns_agree(spark):
+    rows = [(i, f"text {i % 37} of words , and more words . {'!' * (i % 3)}") for i in range(300)] + [(7, "same row")] * 200
+    docs = lambda rows, n: spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+    of = lambda df: sorted(map(tuple, weak_labels.classify(df, sample=100).collect()))
+    assert of(docs(rows, 2)) == of(docs(rows[::-1], 7))

@@ -90,9 +90,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: in
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """The scorer of ``labels`` (doc_id, toxic) on the texts of ``docs``."""
+    """The scorer of ``labels`` (doc_id, toxic) on the texts of ``docs``.
+
+    Ids whose labels clash teach nothing. Of several texts of one id that with the smallest hash is
+    taught, so that reruns agree whatever the partitions.
+    """
     given = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
-    given = given.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    given = given.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    given = given.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     drawn = given.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(TAUGHT)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"))
 
@@ -110,8 +115,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     taught = (
         texts.join(F.broadcast(drawn), "doc_id")
-        .select("doc_id", "text", "toxic")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "toxic")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select("doc_id", "least.text", "toxic")
         .mapInPandas(encode, "doc_id long, slot binary, n binary, toxic int")
         .toPandas()
         .sort_values("doc_id")

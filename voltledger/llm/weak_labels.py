@@ -138,6 +138,7 @@ def classify(
     posterior: of the labellers alone; score: of the fitted scorer, 0 to 1. A row
     is kept if both say good on average and it isn't toxic. Null and empty texts have no words
     and aren't kept. ``labels`` (doc_id, toxic) teach toxicity; insults count without them.
+    Equal rows give equal rows; what is taught and in what order doesn't depend on partitions.
     """
     k1, k2 = row_keys(docs)
     spark = docs.sparkSession
@@ -156,7 +157,7 @@ def classify(
             yield pd.DataFrame({"draw": batch.draw, "code": code})
 
     voted = stored(rows.select("draw", "text").mapInPandas(vote, "draw long, code int"), "votes")
-    tally = voted.groupBy("code").count().toPandas()  # 3 ** labellers rows at most
+    tally = voted.groupBy("code").count().toPandas().sort_values("code")  # 3 ** labellers rows at most
     patterns = tally.code.to_numpy(np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     posterior, _ = estimate(patterns.reshape(-1, len(LABELLERS)), tally["count"].to_numpy(float))
     sent = spark.sparkContext.broadcast(dict(zip(tally.code.tolist(), posterior.tolist(), strict=True)))
@@ -172,12 +173,23 @@ def classify(
                 code = sum(v * 3**i for i, v in enumerate(votes(text or b"", learned.value)[0]))
                 share = times / max(1, len(words))
                 out.append((bucket.astype("<i4").tobytes(), share.astype("<f4").tobytes(), sent.value[code]))
-            yield pd.DataFrame(out, columns=["bucket", "share", "y"])
-
-    drawn = rows.where(F.col("draw") <= F.lit(edge)).limit(sample)
-    taught = drawn.select("text").mapInPandas(encode, "bucket binary, share binary, y double").toPandas()
+            yield pd.DataFrame(out, columns=["bucket", "share", "y"]).assign(draw=batch.draw.to_numpy())
+
+    # Rows at the edge are equal, so it doesn't matter which of them are taught.
+    edge_row = F.col("draw") == F.lit(edge).cast("long")
+    more = sample - voted.where(F.col("draw") < F.lit(edge).cast("long")).count()
+    drawn = rows.where(F.col("draw") < F.lit(edge).cast("long")).unionAll(rows.where(edge_row).limit(more))
+    taught = (
+        drawn.select("draw", "text")
+        .mapInPandas(encode, "draw long, bucket binary, share binary, y double")
+        .toPandas()
+        .sort_values("draw", kind="stable")
+    )
     weights, bias = fit(
-        [(np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4").astype(float), y) for b, s, y in taught.itertuples(index=False)]
+        [
+            (np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4").astype(float), y)
+            for b, s, y in taught[["bucket", "share", "y"]].itertuples(index=False)
+        ]
     )
     model = spark.sparkContext.broadcast((weights, bias))
 
