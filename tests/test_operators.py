@@ -312,6 +312,20 @@ def test_top_bottom_equals_sorting(spark):
     assert rows(top_bottom(df, "m", 15, 10, "z")) == sorted(set(low) | set(high), key=repr)
 
 
+def test_top_bottom_prunes_before_the_shuffle(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(f"{i:05d}", rng.randint(0, 10**6)) for i in range(20_000)]
+    spark.createDataFrame(data, "z string, m int").repartition(6).write.parquet(str(tmp_path / "t"))
+    df = top_bottom(spark.read.parquet(str(tmp_path / "t")), "m", 15, 10, "z")
+    low, high = sorted(data, key=lambda r: (r[1], r[0]))[:15], sorted(data, key=lambda r: (-r[1], r[0]))[:10]
+    assert rows(df) == sorted(low + high, key=repr)
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    limits = [x.strip(" +-:*") for x in final.splitlines() if "WindowGroupLimit" in x or "Exchange hashpartitioning(_side" in x]
+    # From the top: final limit, exchange, limit in every partition; the rows are read once.
+    assert ["Final" in limits[0], "Exchange" in limits[1], "Partial" in limits[2]] == [True] * 3 and len(limits) == 3
+    assert final.count("FileScan parquet") == 1
+
+
 def test_top_bottom_of_few_rows_returns_each_once(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "z string, m int")
     assert rows(top_bottom(df, "m", 10, 10, "z")) == [("a", 1), ("b", 2)]

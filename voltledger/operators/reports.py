@@ -39,32 +39,27 @@ def with_total(
     )
 
 
-# Buckets of the first round of ``top_bottom``.
-_BUCKETS = 256
-
-
 def top_bottom(df: DataFrame, by: str, n_low: int, n_high: int, tie: str) -> DataFrame:
     """The ``n_low`` lowest and ``n_high`` highest rows by a measure.
 
-    Two ``orderBy().limit()`` would compute ``df`` twice.  Here the rows are ranked
-    from both ends inside hash buckets, and only each bucket's extremes, at most
-    ``_BUCKETS * (n_low + n_high)`` rows, are ranked once more together; every row
-    of the result is an extreme of its bucket, so nothing is lost.  ``tie`` makes
+    Two ``orderBy().limit()`` would compute ``df`` twice.  Here each row is offered once to
+    either side and numbered within it; since the number is compared with a constant, Spark keeps only
+    the first rows of each side in every partition before it shuffles them, so that of any
+    number of rows ``2 * max(n_low, n_high)`` a partition meet.  ``tie`` makes
     the choice among equal values stable.  A row on both sides is returned once.
     """
-
-    def extremes(rows: DataFrame, *within: Column) -> DataFrame:
-        low = Window.partitionBy(*within).orderBy(F.col(by).asc(), F.col(tie).asc())
-        high = Window.partitionBy(*within).orderBy(F.col(by).desc(), F.col(tie).asc())
-        ranked = rows.withColumns(
-            {"_low": F.row_number().over(low), "_high": F.row_number().over(high)}
-        )
-        kept = ranked.filter((F.col("_low") <= n_low) | (F.col("_high") <= n_high))
-        return kept.drop("_low", "_high")
-
-    known = df.filter(F.col(by).isNotNull())
-    first = extremes(known, F.pmod(F.hash(tie), F.lit(_BUCKETS)))
-    return extremes(first, F.lit(0)).distinct()
+    side, nth = "_side", "_nth"
+    offered = df.filter(F.col(by).isNotNull()).withColumn(side, F.explode(F.array(F.lit(0), F.lit(1))))
+    # Within a side the other one's key is missing throughout.
+    order = [
+        F.when(F.col(side) == 0, F.col(by)).asc(),
+        F.when(F.col(side) == 1, F.col(by)).desc(),
+        F.col(tie).asc(),
+    ]
+    first = offered.withColumn(nth, F.row_number().over(Window.partitionBy(side).orderBy(*order)))
+    most = F.when(F.col(side) == 0, n_low).otherwise(n_high)
+    kept = first.filter(F.col(nth) <= max(n_low, n_high)).filter(F.col(nth) <= most)
+    return kept.drop(side, nth).distinct()
 
 
 def control_totals(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
