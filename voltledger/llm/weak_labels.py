@@ -143,7 +143,9 @@ def classify(
     k1, k2 = row_keys(docs)
     spark = docs.sparkSession
     rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
+        k1.alias("k1"),
+        k2.alias("k2"),
+        docs["doc_id"].cast("long").isNull().alias("no_id"),
         F.xxhash64(k1, k2).alias("draw"),
         docs["text"].cast("string").cast("binary").alias("text"),
     )
@@ -154,9 +156,16 @@ def classify(
         for batch in batches:
             out = [votes(t or b"", learned.value) for t in batch.text]
             code = [sum(v * 3**i for i, v in enumerate(vs)) for vs, _ in out]
-            yield pd.DataFrame({"draw": batch.draw, "code": code})
-
-    voted = stored(rows.select("draw", "text").mapInPandas(vote, "draw long, code int"), "votes")
+            toxic = [vs[-1] == BAD or insults >= TOXIC for vs, insults in out]
+            found = {"code": code, "insults": [insults for _, insults in out], "toxic": toxic}
+            yield batch[["k1", "k2", "draw"]].assign(**found)
+
+    voted = stored(
+        rows.select("k1", "k2", "draw", "text").mapInPandas(
+            vote, "k1 long, k2 long, draw long, code int, insults long, toxic boolean"
+        ),
+        "votes",
+    )
     tally = voted.groupBy("code").count().toPandas().sort_values("code")  # 3 ** labellers rows at most
     patterns = tally.code.to_numpy(np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     posterior, _ = estimate(patterns.reshape(-1, len(LABELLERS)), tally["count"].to_numpy(float))
@@ -198,7 +207,7 @@ def classify(
         memo: dict[bytes, float] = {}
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+            for text in batch.text:
                 words = (text or b"").split()
                 if len(memo) > 300_000:
                     memo.clear()
@@ -209,16 +218,22 @@ def classify(
                         a, b = features(w)
                         x = memo[w] = weights[a] + weights[b]
                     total += x
-                vs, insults = votes(text or b"", learned.value)
-                own = sent.value[sum(v * 3**i for i, v in enumerate(vs))]
                 z = total / max(1, len(words)) + bias
-                out.append((doc_id, own, float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))) if words else 0.0, insults, vs[-1] == BAD or insults >= TOXIC, len(words)))
-            frame = pd.DataFrame(out, columns=["doc_id", "posterior", "score", "insults", "toxic", "n_words"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    scored = rows.select("doc_id", "text").mapInPandas(
-        score, "doc_id long, posterior double, score double, insults long, toxic boolean, n_words long"
+                out.append((float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))) if words else 0.0, len(words)))
+            frame = pd.DataFrame(out, columns=["score", "n_words"], index=batch.index)
+            yield batch[["k1", "k2", "no_id"]].join(frame)
+
+    # Votes and scores meet by the rows' keys, a few numbers a row; of equal rows one vote is enough.
+    own = voted.groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in ("code", "insults", "toxic")])
+    believed = spark.createDataFrame(
+        list(zip(tally.code.tolist(), posterior.tolist(), strict=True)), "code int, posterior double"
+    )  # 3 ** labellers rows at most
+    scored = (
+        rows.select("k1", "k2", "no_id", "text")
+        .mapInPandas(score, "k1 long, k2 long, no_id boolean, score double, n_words long")
+        .join(own, ["k1", "k2"])
+        .join(F.broadcast(believed), "code")
+        .withColumn("doc_id", F.when(~F.col("no_id"), F.col("k1")))
     )
     return scored.select(
         "doc_id",
